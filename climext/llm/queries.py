@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing
+from . import exact, packing, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).drop("chain")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_certified(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packed_matrices, op6_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op5_packed_matrices, op6_exact_dedup, op9_substring_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op6_exact_dedup": """
@@ -50,4 +55,20 @@ ORACLES = {
                sha256(t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+        g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM p),
+        f AS MATERIALIZED (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM g)
+            WHERE r > 1),
+        c AS (SELECT DISTINCT doc_id, i + o AS j FROM f, range(20) AS t(o)),
+        u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+        k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n
+              FROM u ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
 }
