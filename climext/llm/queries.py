@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact, near, packing, quality, substring, toxicity
+from . import ann, exact, near, packing, pieces, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        (F.col("decoded") == F.col("text")).alias("lossless"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -63,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_certified(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op5_packed_matrices, op6_exact_dedup, op7_minhash_near_dedup, op9_substring_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op5_packed_matrices, op6_exact_dedup, op7_minhash_near_dedup, op8_sampled_pieces, op9_substring_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op6_exact_dedup": """
