@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact, near, packing, pieces, quality, substring, toxicity
+from . import ann, chat, exact, near, packing, pieces, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = chat.raw_transcripts(table(spark, sf_dir, "conversations"))
+    turns = chat.parse(raw, chat.train(raw))
+    return turns.select("conv_id", "turn", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op5_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_matrices(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packed.select(
@@ -74,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_certified(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op5_packed_matrices, op6_exact_dedup, op7_minhash_near_dedup, op8_sampled_pieces, op9_substring_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_nearest_neighbours, op3_quality_classifier, op4_chat_turns, op5_packed_matrices, op6_exact_dedup, op7_minhash_near_dedup, op8_sampled_pieces, op9_substring_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op6_exact_dedup": """
