@@ -81,6 +81,30 @@ def with_key(docs: DataFrame) -> DataFrame:
     )
 
 
+def compressed(df: DataFrame) -> DataFrame:
+    """``text`` as zstd frames: half the bytes in a shuffle of whole texts."""
+    import zstandard
+
+    schema = df.withColumn("text", F.lit(None).cast("binary")).schema
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            frames = [zip_.compress(x or b"") for x in b.column(at).cast(pa.binary()).to_pylist()]
+            yield b.set_column(at, "text", pa.array(frames, pa.binary()))
+
+    return df.mapInArrow(run, schema)
+
+
+def plain(frames: pa.Array) -> pa.Array:
+    """The texts of compressed ones."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    return pa.array([unzip.decompress(x) for x in frames.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def spread(df: DataFrame, rows_each: int = 4000) -> int:
     """A partition count for ``df.count()`` rows; at least the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Tokens, keyed, materialize, mix, prepare, shingle_hashes, string_buffers, text_blocks, with_key
+from .common import SPACE, U64, Tokens, compressed, keyed, materialize, mix, plain, prepare, shingle_hashes, string_buffers, text_blocks, with_key
 
 IS_WORD = ~SPACE
 
@@ -244,6 +244,7 @@ def removal_plan(docs: DataFrame, k: int = 20, m: int = 4, hot: int = 500, shard
     long_enough = seen.where(F.size("anchors") > 0)
     # exact copies: all but the least are covered from end to end
     least = long_enough.groupBy("sha").agg(F.min("__id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = materialize(least, "least")  # so that the join's hot keys can be split
     copies = materialize(
         long_enough.select("rid", "__id", "__key", "sha").join(least, "sha").where("__id > least").select("rid", "__id", "__key"),
         "copies",
@@ -267,7 +268,7 @@ def removal_plan(docs: DataFrame, k: int = 20, m: int = 4, hot: int = 500, shard
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, t in _blocks(b.column("text")):
+            for lo, hi, t in _blocks(plain(b.column("text"))):
                 ids, keys = b.column("__id").slice(lo, hi - lo).to_numpy(), b.column("__key").slice(lo, hi - lo).to_numpy()
                 text = np.where(IS_WORD[t.raw], t.raw, 32).astype(np.uint8).tobytes()
                 rows = {"shard": [], "__id": [], "__key": [], "start": [], "segment": []}
@@ -296,7 +297,8 @@ def removal_plan(docs: DataFrame, k: int = 20, m: int = 4, hot: int = 500, shard
                     )
 
     segments = (
-        base.join(wanted, ["__id", "__key"])
+        compressed(base)
+        .join(wanted, ["__id", "__key"])
         .dropDuplicates(["__id", "__key"])
         .mapInArrow(cut, "shard long, __id long, __key long, start long, segment string")
         .groupBy("shard", "segment")
@@ -368,14 +370,13 @@ def cut_repeats(docs: DataFrame, k: int = 20, m: int = 4, **how) -> DataFrame:
     """The rows of ``docs`` with ``kept_text`` (kept words joined by a space), ``n_words`` and ``n_removed``."""
     plan = removal_plan(docs, k, m, **how)
     rest = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed")]
-    joined = with_key(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))).join(
-        plan, ["__id", "__key"], "left"
-    )
-    fields = [*rest, "text"]
+    keyed_rows = with_key(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = compressed(keyed_rows.select(*rest, "text", "__id", "__key")).join(plan, ["__id", "__key"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, t in _blocks(b.column("text")):
+            texts = plain(b.column("text"))
+            for lo, hi, t in _blocks(texts):
                 n = len(t.start)
                 gone = np.zeros(n + 1, np.int64)
                 for d in np.flatnonzero(b.column("copy").slice(lo, hi - lo).fill_null(False).to_numpy(False)).tolist():
@@ -393,16 +394,17 @@ def cut_repeats(docs: DataFrame, k: int = 20, m: int = 4, **how) -> DataFrame:
                                 gone[a + w] += 1
                                 gone[a + w + k] -= 1
                 keep = np.cumsum(gone[:-1]) == 0 if n else np.zeros(0, bool)
-                texts, removed = _kept(t, keep, hi - lo)
+                kept, removed = _kept(t, keep, hi - lo)
                 words = np.diff(t.first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(b.column(c).slice(lo, hi - lo) for c in fields),
-                        texts,
+                        *(b.column(c).slice(lo, hi - lo) for c in rest),
+                        texts.slice(lo, hi - lo),
+                        kept,
                         pa.array(words, pa.int64()),
                         pa.array(removed, pa.int64()),
                     ],
-                    names=[*fields, "kept_text", "n_words", "n_removed"],
+                    names=[*rest, "text", "kept_text", "n_words", "n_removed"],
                 )
 
     schema = docs.select(*rest, F.col("text").cast("string").alias("text")).schema
