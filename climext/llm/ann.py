@@ -6,9 +6,9 @@ and visits leaves in that order.  How many leaves is calibrated: for ``calibrati
 neighbours among all vectors are found in blocks, and the number of leaves is widened until the share of
 them in visited leaves reaches ``recall``.
 
-Leaves are cut into pages of at most ``page`` vectors and meet their queries page by page, so a leaf that holds a
-third of all vectors (copies of one vector) is spread over many tasks; each page returns its own nearest
-k, and those are merged.
+Neighbouring leaves make a block of up to ``page`` vectors, and a fuller leaf is cut into several, so a leaf that
+holds a third of all vectors (copies of one vector) is spread over many tasks.  Blocks meet the queries that
+visit one of their leaves; each returns its own nearest k of the visited leaves, and those are merged.
 
 Definitions for unusual input: vectors that are null, zero, or hold null or non-finite components, and vectors
 whose length differs from most (the most frequent, the longer on ties), take no part, neither as queries nor
@@ -112,18 +112,38 @@ def best_bins(tree: Tree, q: np.ndarray, most: int) -> list[int]:
     return out
 
 
-def _top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's nearest k of a page, by distance and then id; exact distances in double precision."""
+def _top(
+    ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, open_: np.ndarray | None = None, step: int = 64
+) -> pd.DataFrame:
+    """Each query's nearest k of a page, by distance and then id; exact distances in double precision.
+
+    ``open_`` (queries x vectors) says which vectors a query looks at.  Products of matrices find who may be
+    among the nearest; only those get exact distances.  Of equal vectors the k+1 least ids are enough.
+    """
+    order = np.lexsort((ids, *x.T[::-1]))
+    same = np.append(False, (x[order[1:]] == x[order[:-1]]).all(axis=1))
+    run = np.flatnonzero(~same)
+    nth = np.arange(len(order)) - run[np.cumsum(~same) - 1]
+    keep = np.sort(order[nth <= k])
+    ids, x = ids[keep], x[keep]
+    norm = (x**2).sum(axis=1)
     out = []
-    for i, v in zip(query_ids.tolist(), q, strict=True):
-        d = np.sqrt(((x - v) ** 2).sum(axis=1))
-        d[ids == i] = np.inf
-        keep = min(k, len(d))
-        bound = np.partition(d, keep - 1)[keep - 1]
-        at = np.flatnonzero(d <= bound)
-        at = at[np.lexsort((ids[at], d[at]))][:keep]
-        at = at[np.isfinite(d[at])]
-        out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "score": d[at]}))
+    for lo in range(0, len(q), step):
+        part, mine = q[lo : lo + step], query_ids[lo : lo + step]
+        own = (part**2).sum(axis=1)
+        near = norm[None] - 2 * part @ x.T + own[:, None]
+        near[ids[None] == mine[:, None]] = np.inf
+        if open_ is not None:
+            near[~open_[lo : lo + step][:, keep]] = np.inf
+        last = min(k, len(x)) - 1
+        bound = np.partition(near, last, axis=1)[:, last] + 1e-9 * (own + norm.max()) + 1e-300
+        row, col = np.nonzero((near <= bound[:, None]) & (near < np.inf))
+        score = np.sqrt(((x[col] - part[row]) ** 2).sum(axis=1))
+        by = np.lexsort((ids[col], score, row))
+        row, col, score = row[by], col[by], score[by]
+        first = np.searchsorted(row, np.arange(len(part)))
+        ok = np.arange(len(row)) - first[row] < k
+        out.append(pd.DataFrame({"query_id": mine[row[ok]], "vec_id": ids[col[ok]], "score": score[ok]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -183,7 +203,7 @@ def search(
         for b in batches:
             v = np.frombuffer(b"".join(b["v"]), np.float64).reshape(len(b), -1)
             got = _top(b["vec_id"].to_numpy(), v, ids, q, k)
-            got["leaf"] = b.set_index("vec_id")["leaf"].loc[got["vec_id"]].to_numpy()
+            got["leaf"] = b.set_index("vec_id")["leaf"].loc[got["vec_id"]].to_numpy(np.int64)
             yield got
 
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -196,37 +216,50 @@ def search(
     )
     visits = calibrate(tree, dict(zip(probe.value[0].tolist(), probe.value[1], strict=True)), truth, recall)
 
+    # blocks: neighbouring leaves of up to ``page`` vectors together, or a page of a fuller leaf; the tree
+    # bounds the number of leaves
+    sizes = dict(placed.groupBy("leaf").agg(F.count("*").alias("n")).collect())
+    first, pages = block_plan(sizes, tree.leaves, page)
+    blocks = spark.sparkContext.broadcast((first, pages))
+
     def route(batches):
+        first, pages = blocks.value
         for b in batches:
-            out = {"query_id": [], "leaf": [], "q": []}
+            out = {"query_id": [], "block": [], "leaves": [], "q": []}
             for i, v in zip(b["vec_id"], b["v"], strict=True):
-                ways = best_bins(shared.value, np.frombuffer(v, np.float64), visits)
+                ways: dict[int, list[int]] = {}
+                for leaf in best_bins(shared.value, np.frombuffer(v, np.float64), visits):
+                    for n in range(pages[leaf]):
+                        ways.setdefault(int(first[leaf]) + n, []).append(leaf)
                 out["query_id"] += [i] * len(ways)
-                out["leaf"] += ways
+                out["block"] += list(ways)
+                out["leaves"] += list(ways.values())
                 out["q"] += [v] * len(ways)
             yield pd.DataFrame(out)
 
-    queries = placed.where(is_query(F.col("vec_id")))
-    routed = queries.mapInPandas(route, "query_id long, leaf long, q binary")
-    # pages of vectors and of queries; the tree bounds the number of leaves
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / page).cast("int").alias("pages"))
-    loads = routed.groupBy("leaf").agg(F.ceil(F.count("*") / page).cast("int").alias("loads"))
-    plan = F.broadcast(materialize(sizes.join(loads, "leaf"), "pages"))
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    def house(batches):
+        first, pages = blocks.value
+        for b in batches:
+            leaf = b["leaf"].to_numpy()
+            part = (b["turn"].to_numpy() % np.maximum(pages[leaf], 1)).astype(np.int64)
+            yield pd.DataFrame({"block": first[leaf] + part, "leaf": leaf, "vec_id": b["vec_id"], "v": b["v"]})
 
+    queries = placed.where(is_query(F.col("vec_id")))
+    routed = materialize(queries.mapInPandas(route, "query_id long, block long, leaves array<int>, q binary"), "routed")
+    # a block that very many queries visit meets them load by load
+    loads = routed.groupBy("block").agg(F.ceil(F.count("*") / page).cast("int").alias("loads"))
+    turn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("turn")
     left = (
-        placed.join(plan, "leaf")
-        .withColumn("page", F.pmod(F.xxhash64("vec_id"), F.col("pages")).cast("int"))
-        .withColumn("load", every("loads"))
-        .select("leaf", "page", "load", "vec_id", "v")
+        placed.select("vec_id", "leaf", "v", turn)
+        .mapInPandas(house, "block long, leaf int, vec_id long, v binary")
+        .join(loads, "block")
+        .withColumn("load", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
+        .drop("loads")
     )
     right = (
-        routed.join(plan, "leaf")
+        routed.join(loads, "block")
         .withColumn("load", F.pmod(F.xxhash64("query_id"), F.col("loads")).cast("int"))
-        .withColumn("page", every("pages"))
-        .select("leaf", "page", "load", "query_id", "q")
+        .drop("loads")
     )
 
     def visit(vecs, asked):
@@ -234,9 +267,16 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         v = np.frombuffer(b"".join(vecs["v"]), np.float64).reshape(len(vecs), -1)
         q = np.frombuffer(b"".join(asked["q"]), np.float64).reshape(len(asked), -1)
-        return _top(vecs["vec_id"].to_numpy(), v, asked["query_id"].to_numpy(), q, k)
-
-    on = ["leaf", "page", "load"]
+        here, leaf = np.unique(vecs["leaf"], return_inverse=True)
+        goes = np.zeros((len(asked), len(here)), bool)
+        row = np.repeat(np.arange(len(asked)), [len(x) for x in asked["leaves"]])
+        to = np.concatenate([np.asarray(x) for x in asked["leaves"]])
+        at = np.searchsorted(here, to)
+        hit = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == to)
+        goes[row[hit], at[hit]] = True
+        return _top(vecs["vec_id"].to_numpy(), v, asked["query_id"].to_numpy(), q, k, goes[:, leaf])
+
+    on = ["block", "load"]
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(visit, _FOUND)
     return (
         found.withColumn("rank", F.row_number().over(nearest))
@@ -245,6 +285,25 @@ def search(
     )
 
 
+def block_plan(sizes: dict[int, int], leaves: int, page: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each leaf: leaves share a block until it holds ``page`` vectors."""
+    first, pages = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
+    block, room = -1, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if not n:
+            continue
+        if n > page:
+            pages[leaf] = -(-n // page)
+            first[leaf] = block + 1
+            block, room = block + int(pages[leaf]), 0
+            continue
+        if n > room:
+            block, room = block + 1, page
+        first[leaf], pages[leaf], room = block, 1, room - n
+    return first, pages
+
+
 def calibrate(tree: Tree, probes: dict[int, np.ndarray], truth: pd.DataFrame, recall: float) -> int:
     """The least number of leaves whose visit finds ``recall`` of the true neighbours."""
     at = []
