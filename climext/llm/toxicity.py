@@ -125,6 +125,21 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 _TRIM_L, _TRIM_R = "\"'.,;:?()[]{}<>#%&*-_=/\\~`“”’‘…–—", "\"'.,;:?!)[]{}<>#%&*|-_=/\\~`“”’‘…–—"
 _DECOR = re.compile(r"([^\w\s])\1{2,}$")
+#: Characters that leave a choice wherever they stand, and letters that may be a repetition (after folding).
+_CHOICE = re.compile("[" + re.escape("".join(sorted({*LEET, *SEPARATORS}))) + "]")
+_DOUBLE = re.compile(r"([a-z])\1")
+
+
+class _Folded(dict):
+    """For str.translate: letters as they read, everything else as a space."""
+
+    def __missing__(self, code: int) -> str:
+        s = LETTERS.get(chr(code))
+        self[code] = out = chr(96 + s) if s else " "
+        return out
+
+
+_FOLDED = _Folded()
 
 
 class Decoder:
@@ -134,9 +149,9 @@ class Decoder:
         self.lm = lm.reshape(-1).tolist()
         self.most, self.kept = most, {}
 
-    def options(self, text: str) -> list[list[tuple[int, float]]] | None:
-        """For each character: (symbol, or -1 for none; cost).  None if there is nothing to choose."""
-        out, choice, before = [], False, frozenset()
+    def options(self, text: str) -> list[list[tuple[int, float]]]:
+        """For each character: (symbol, or -1 for none; cost)."""
+        out, before = [], frozenset()
         for ch in text:
             s = LETTERS.get(ch)
             if s is not None:
@@ -144,18 +159,15 @@ class Decoder:
             elif ch in LEET:
                 now = frozenset(LETTERS[x] for x in LEET[ch])
                 o = [*((x, _LEET_COST) for x in sorted(now)), (0, _BREAK_COST)]
-                choice = True
             elif ch in SEPARATORS:
                 o, now = [(0, 0.0), (-1, _JOIN_COST)], frozenset()
-                choice = True
             else:
                 o, now = [(0, 0.0)], frozenset()
             if now & before:  # may repeat the letter before
                 o.append((-1, _REPEAT_COST))
-                choice = True
             out.append(o)
             before = now
-        return out if choice else None
+        return out
 
     def viterbi(self, lattice: list[list[tuple[int, float]]]) -> list[str]:
         """Words of the best path."""
@@ -189,30 +201,42 @@ class Decoder:
         """The words that one token (or spaced-out run of tokens) reads as."""
         got = self.kept.get(spelling)
         if got is None:
+            core = _DECOR.sub("", spelling).rstrip(_TRIM_R).lstrip(_TRIM_L)
+            folded = core.translate(_FOLDED)
+            if not folded.strip():
+                return (core,) if core else ()
+            if not (_CHOICE.search(core) or _DOUBLE.search(folded)):
+                return tuple(folded.split())
+            lattice = self.options(core)
             if len(self.kept) > self.most:
                 self.kept.clear()
-            core = _DECOR.sub("", spelling).rstrip(_TRIM_R).lstrip(_TRIM_L)
-            if not any(c in LETTERS for c in core):
-                got = (core,) if core else ()
-            elif (lattice := self.options(core)) is None:
-                got = tuple("".join(chr(96 + LETTERS[c]) if c in LETTERS else " " for c in core).split())
-            else:
-                got = tuple(self.viterbi(lattice))
-            self.kept[spelling] = got
+            self.kept[spelling] = got = tuple(self.viterbi(lattice))
         return got
 
-    def restored(self, texts: pa.Array) -> Iterator[set[str]]:
-        """The set of words of each restored text."""
+    def restored(self, texts: pa.Array, dull: set[str] | None = None, wanted=None) -> Iterator[set[str]]:
+        """The set of words of each restored text.
+
+        With ``wanted`` (a test of words), only wanted words; spellings that yield none gather in ``dull``, so
+        that each of them is looked into once and then falls out of a text by one set difference.
+        """
         for lo, hi, raw, offsets in _blocks(texts):
             spans = _spaced_runs(raw, offsets)
             data = raw.tobytes()
             for d in range(hi - lo):
                 found: set[str] = set()
-                text = data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace")
-                for token in set(text.split()):
-                    found.update(self.words(token))
-                for a, z in spans.get(d, ()):
-                    found.update(self.words(data[a:z].decode("utf-8", "replace")))
+                spellings = set(data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace").split())
+                if dull is not None:
+                    if len(dull) > self.most:
+                        dull.clear()
+                    spellings -= dull
+                spellings.update(data[a:z].decode("utf-8", "replace") for a, z in spans.get(d, ()))
+                for x in spellings:
+                    words = self.words(x)
+                    if wanted is not None:
+                        words = [w for w in words if wanted(w)]
+                        if not words:
+                            dull.add(x)
+                    found.update(words)
                 yield found
 
 
@@ -250,17 +274,11 @@ def _keys(word: str) -> tuple[str, ...]:
     return (word, *("^" + word[:k] for k in _PREFIXES if len(word) > k))
 
 
-def features(words: set[str], known: frozenset[str] | None = None, kept: dict | None = None) -> list[str]:
+def features(words: set[str]) -> list[str]:
     """Features of a text: its words, their beginnings, and beginnings that two or three different words share."""
     counts: dict[str, int] = {}
     for w in words:
-        if kept is None:
-            keys = _keys(w)
-        elif (keys := kept.get(w)) is None:
-            if len(kept) > 300_000:
-                kept.clear()
-            keys = kept[w] = tuple(k for k in _keys(w) if known is None or k in known or k + "#2" in known or k + "#3" in known)
-        for k in keys:
+        for k in _keys(w):
             counts[k] = counts.get(k, 0) + 1
     out = list(counts)
     out += [k + "#2" for k, n in counts.items() if n > 1]
@@ -343,11 +361,18 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, weights, bias = shared.value
-        decoder, known, kept = Decoder(lm), frozenset(weights), {}
+        decoder, dull = Decoder(lm), set()
+        known = {f[:-2] if f.endswith(("#2", "#3")) else f for f in weights} | weights.keys()
+
+        heads = {f[1:5] for f in known if f[0] == "^"}  # of all beginnings that count
+
+        def wanted(word: str) -> bool:
+            return word in known or (word[:4] in heads and not known.isdisjoint(_keys(word)))
+
         for b in batches:
             z = [
-                bias + sum(weights.get(f, 0.0) for f in features(words, known, kept))
-                for words in decoder.restored(b.column("text"))
+                bias + sum(weights.get(f, 0.0) for f in features(words))
+                for words in decoder.restored(b.column("text"), dull, wanted)
             ]
             z = np.asarray(z, np.float64)
             yield pa.RecordBatch.from_arrays(
