@@ -341,7 +341,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, pa
     named = reps.join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left").withColumn(
         "root", F.coalesce("root", "rid")
     )
-    names = named.groupBy("root").agg(F.min("__id").alias("class_id"))
+    # written, so that the joins' hot classes can be split
+    named = materialize(named, "named")
+    names = materialize(named.groupBy("root").agg(F.min("__id").alias("class_id")), "names")
     named = named.join(names, "root").select("w1", "w2", "class_id", F.col("rid").alias("rep"))
     return signed.select("__id", "__key", "w1", "w2").join(named, ["w1", "w2"]).drop("w1", "w2")
 
@@ -426,7 +428,7 @@ def _parts(df: DataFrame) -> int:
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """One row for each row of ``docs``: its id, class, class size, and whether it stays (the class's first row)."""
     classes = materialize(near_classes(docs, **how), "near")
-    size = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
+    size = materialize(classes.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
     return classes.join(size, "class_id").select(
         F.when(F.col("__id") < MAX_ID, F.col("__id")).alias("doc_id"),
         F.when(F.col("class_id") < MAX_ID, F.col("class_id")).alias("class_id"),
