@@ -86,16 +86,28 @@ def to_standard_normal(p: Column) -> Column:
     return clamp(norm_ppf(clamp(p, PROB_LOW, PROB_HIGH)), VALID_MIN, VALID_MAX)
 
 
+def standardize(df, probabilities: dict[str, Column]):
+    """``df`` with an index column for each probability.
+
+    Each step is a projection of its own, so that what the next one uses many times stays a plain column.
+    """
+    held = {f"__n_{k}": clamp(F.col(f"__h_{k}"), PROB_LOW, PROB_HIGH) for k in probabilities}
+    df = df.withColumns({f"__h_{k}": p for k, p in probabilities.items()}).withColumns(held)
+    df = df.withColumns({k: norm_ppf(F.col(f"__n_{k}")) for k in probabilities})
+    df = df.withColumns({k: clamp(F.col(k), VALID_MIN, VALID_MAX) for k in probabilities})
+    return df.drop(*held, *(f"__h_{k}" for k in probabilities))
+
+
 def lgamma(x: Column) -> Column:
-    """log Gamma of ``x`` > 0: shifted by 8, then Stirling's series."""
+    """log Gamma of ``x`` > 0 (a plain column: it is used many times): shifted by 8, then Stirling's series."""
     shift = x
     for i in range(1, 8):
         shift = shift * (x + i)
     z = x + 8.0
-    series, power = F.lit(0.0), 1 / z
-    for c in _STIRLING:
-        series, power = series + c * power, power / (z * z)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(shift)
+    w, series = 1 / (z * z), F.lit(_STIRLING[-1])
+    for c in reversed(_STIRLING[:-1]):
+        series = series * w + c
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series / z - F.log(shift)
 
 
 def gamma(x: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CALIBRATION_END, CALIBRATION_START, MIN_GAMMA_VALUES, WATER_BALANCE_OFFSET, Distribution, Periodicity
-from ..functions.special import clamp, gamma_p, to_standard_normal
+from ..functions.special import gamma_p, standardize
 from ..naming import variable_attributes, variable_name, with_attributes
 from . import fit
 from .grid import period_of
@@ -53,15 +53,34 @@ def in_calibration(time: str, start: int | None, end: int | None) -> Column:
     return out
 
 
-def thom_gamma(v: Column, calibrated: Column, over=lambda c: c) -> dict[str, Column]:
-    """alpha, beta, prob_zero by the log-mean estimator, as aggregates (``over`` may put them in a window)."""
+_PARTS = ("n", "zeros", "some", "mean", "a")
+
+
+def thom_parts(v: Column, calibrated: Column, over=lambda c: c) -> dict[str, Column]:
+    """What the log-mean estimator needs, as aggregates (``over`` may put them in a window)."""
     x = F.when(calibrated, v)
     positive = F.when(x > 0, x)
-    n, zeros, some = over(F.count(x)), over(F.count_if(x == 0)), over(F.count(positive))
-    mean, mean_log = over(F.avg(positive)), over(F.avg(F.log(positive)))
-    a = F.log(mean) - mean_log
-    alpha = F.when((some >= MIN_GAMMA_VALUES) & (a > 0), (1 + F.sqrt(1 + 4 * a / 3)) / (4 * a))
-    return {"alpha": alpha, "beta": mean / alpha, "prob_zero": F.when(n > 0, zeros / n)}
+    return {
+        "n": over(F.count(x)),
+        "zeros": over(F.count_if(x == 0)),
+        "some": over(F.count(positive)),
+        "mean": over(F.avg(positive)),
+        "a": F.log(over(F.avg(positive))) - over(F.avg(F.log(positive))),
+    }
+
+
+def thom_of(part: dict[str, Column]) -> dict[str, Column]:
+    """alpha, beta, prob_zero of those parts."""
+    a = part["a"]
+    alpha = F.when((part["some"] >= MIN_GAMMA_VALUES) & (a > 0), F.try_divide(1 + F.sqrt(1 + 4 * a / 3), 4 * a))
+    return {"alpha": alpha, "beta": F.try_divide(part["mean"], alpha), "prob_zero": F.try_divide(part["zeros"], part["n"])}
+
+
+def thom_gamma(rows: DataFrame, keys: Sequence[str], v: Column, calibrated: Column) -> DataFrame:
+    """(keys, alpha, beta, prob_zero) by the log-mean estimator."""
+    parts = rows.groupBy(*keys).agg(*(c.alias(f"__{k}") for k, c in thom_parts(v, calibrated).items()))
+    made = thom_of({k: F.col(f"__{k}") for k in _PARTS})
+    return parts.select(*keys, *(c.alias(k) for k, c in made.items()))
 
 
 def gamma_params(
@@ -75,15 +94,14 @@ def gamma_params(
 ) -> DataFrame:
     """(keys, period, alpha, beta, prob_zero) of the index pipeline."""
     rows = df.withColumn("period", period_of(F.col(time), periodicity))
-    p = thom_gamma(F.col(value), in_calibration(time, start, end))
-    return rows.groupBy(*keys, "period").agg(*(c.alias(k) for k, c in p.items()))
+    return thom_gamma(rows, [*keys, "period"], F.col(value), in_calibration(time, start, end))
 
 
-def gamma_index(v: Column, alpha: Column, beta: Column, prob_zero: Column) -> Column:
-    """Index value of a scaled amount under fitted gamma parameters."""
+def gamma_probability(v: Column, alpha: Column, beta: Column, prob_zero: Column) -> Column:
+    """Probability of a scaled amount under fitted gamma parameters, zeros mixed in."""
     ok = (alpha > 0) & (beta > 0)
-    p = F.when(v > 0, gamma_p(alpha, v / beta)).when(v <= 0, 0.0)
-    return F.when(ok & v.isNotNull(), to_standard_normal(prob_zero + (1 - prob_zero) * p))
+    p = F.when(v > 0, gamma_p(alpha, F.try_divide(v, beta))).when(v <= 0, 0.0)
+    return F.when(ok & v.isNotNull(), prob_zero + (1 - prob_zero) * p)
 
 
 def standardized_index(
@@ -116,7 +134,11 @@ def standardized_index(
         v, made = F.col(f"__s{s}"), {}
         if params is None and family == "gamma":
             w = Window.partitionBy(cell, period)
-            made = thom_gamma(v, calibrated, lambda c, w=w: c.over(w))
+            # the log-mean difference first: the estimator uses it many times
+            parts = thom_parts(v, calibrated, lambda c, w=w: c.over(w))
+            out = out.withColumns({f"__{n}_{s}": c for n, c in parts.items()})
+            made = thom_of({n: F.col(f"__{n}_{s}") for n in _PARTS})
+            drop += [f"__{n}_{s}" for n in _PARTS]
         else:
             table = params
             if table is None:
@@ -134,11 +156,11 @@ def standardized_index(
         drop += [k for k in held if not keep_params]
         got = {n: F.col(f"__p_{n}_{s}") for n in made}
         if family == "gamma":
-            z = gamma_index(v, **got)
+            h = gamma_probability(v, **got)
         else:
-            z = to_standard_normal(fit.cdf(v, family, got | {"prob_zero": F.coalesce(got["prob_zero"], F.lit(0.0))}))
-        results[variable_name(index, s, periodicity, family)] = z
-    out = out.withColumns(results).drop(*drop)
+            h = fit.cdf(v, family, got | {"prob_zero": F.coalesce(got["prob_zero"], F.lit(0.0))})
+        results[variable_name(index, s, periodicity, family)] = h
+    out = standardize(out, results).drop(*drop)
     for s in scales:
         out = with_attributes(out, variable_name(index, s, periodicity, family), variable_attributes(index, s, periodicity, family))
         if keep_params:
@@ -169,8 +191,7 @@ def fit_index_params(
     keys = [cell, "period", "scale_steps"]
     calibrated = in_calibration(time, start, end)
     if family == "gamma":
-        p = thom_gamma(F.col("v"), calibrated)
-        table = rows.groupBy(*keys).agg(*(c.alias(k) for k, c in p.items()))
+        table = thom_gamma(rows, keys, F.col("v"), calibrated)
     else:
         table = fit.fit(rows.where(calibrated), keys, "v", family).select(*keys, *fit.PARAMS[family], "prob_zero")
     return table.withColumn("distribution", F.lit(family))
@@ -236,8 +257,8 @@ def transform_with_params(df: DataFrame, params: DataFrame, value: str, distribu
     table = params.select("cell_id", "period", *(F.col(n).alias(f"__{n}") for n in names))
     rows = df.withColumn("period", period_of(F.col("time"))).join(table, ["cell_id", "period"], "left")
     got = {n: F.col(f"__{n}") for n in names}
-    z = gamma_index(F.col(value), **got) if family == "gamma" else to_standard_normal(fit.cdf(F.col(value), family, got))
-    return rows.withColumn(out, z).drop("period", *(f"__{n}" for n in names))
+    h = gamma_probability(F.col(value), **got) if family == "gamma" else fit.cdf(F.col(value), family, got)
+    return standardize(rows, {out: h}).drop("period", *(f"__{n}" for n in names))
 
 
-__all__ = ["clamp", "fit_index_params", "gamma_index", "gamma_params", "rolling_sum", "spei", "spi", "standardized_index", "thom_gamma"]
+__all__ = ["fit_index_params", "gamma_params", "rolling_sum", "spei", "spi", "standardized_index", "thom_gamma"]

@@ -90,7 +90,7 @@ def thornthwaite(
     i = F.col("__heat")
     a = 6.75e-07 * i * i * i - 7.71e-05 * i * i + 1.792e-02 * i + 0.49239
     days = F.day(F.last_day(time))
-    pet = 16.0 * (F.col("__light") / 12.0) * (days / 30.0) * F.pow(10.0 * F.col("__t") / i, a)
+    pet = 16.0 * (F.col("__light") / 12.0) * (days / 30.0) * F.pow(F.try_divide(10.0 * F.col("__t"), i), a)
     ok = (F.col(latitude) > -90) & (F.col(latitude) < 90)
     return rows.withColumn(out, F.when(ok & (i == 0), 0.0).when(ok, pet)).drop("__light", "__t", "__m", "__part", "__heat")
 

@@ -35,5 +35,5 @@ def monthly(spark: SparkSession, sf_dir: str, returned_only: bool = False, fill:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, time, value): the z-score of each month within its supplier."""
     w = Window.partitionBy("cell_id")
-    z = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    z = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
     return monthly(spark, sf_dir).select("cell_id", "time", z.alias("value"))

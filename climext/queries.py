@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.special import norm_ppf, norm_ppf_sql
+from .functions.special import norm_ppf, norm_ppf_sql, standardize
 from .operators import calendar, classify, fit, grid, index, pet, runs, views
 from .plans import frames, planning
 
@@ -139,7 +139,7 @@ def idx2(spark, d):
     )
 
 
-@query("idx3_spei_gamma", _spi_sql(M.replace("s.value, s.pet", "s.value - s.pet + 1000 AS value, s.pet"), (3,), name="spei"), 4)
+@query("idx3_spei_gamma", _spi_sql(M.replace("s.value, s.pet", "s.value - s.pet + 1000 AS value, s.pet"), (3,), name="spei").replace("600", "4000"), 4)
 def idx3(spark, d):
     df = views.monthly(spark, d)
     return index.spei(df.select("cell_id", "time", "value"), 3, "value", pet=df.select("cell_id", "time", "pet"), **CAL).select(
@@ -292,7 +292,7 @@ def agg9(spark, d):
     "FROM q a JOIN q b ON a.cell_id = b.cell_id AND a.period = '1997-2001' AND b.period = '1995-1998'",
 )
 def jn7(spark, d):
-    return runs.period_difference(agg9(spark, d), "1997-2001", "1995-1998", "total_magnitude")
+    return runs.period_difference(_rounded(agg9(spark, d)), "1997-2001", "1995-1998", "total_magnitude")
 
 
 @query(
@@ -564,9 +564,7 @@ def dst17(spark, d):
 def idx8(spark, d):
     df = _pool(spark, d)
     p = fit.fit(df, _K, "value", "pearson3")
-    from .functions.special import to_standard_normal
-
-    return fit.with_cdf(df, p, _K, "value", "pearson3").select("cell_id", "time", to_standard_normal(F.col("cdf")).alias("z"))
+    return standardize(fit.with_cdf(df, p, _K, "value", "pearson3"), {"z": F.col("cdf")}).select("cell_id", "time", "z")
 
 
 # ---------------------------------------------------------------- evapotranspiration and calendars
