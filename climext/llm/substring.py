@@ -341,7 +341,7 @@ def removal_plan(docs: DataFrame, k: int = 20, m: int = 4, hot: int = 500, shard
     return plan.unionByName(gone)
 
 
-def _units(t: Tokens, b: pa.RecordBatch, lo: int, hi: int, k: int, m: int):
+def _units(t: Tokens, b: pa.RecordBatch, lo: int, hi: int, k: int, m: int, prefix: str = ""):
     """(document, its (shard key, first window, one past the last window)) of a block.
 
     A run of windows with an anchor in ``normal`` is one unit; with one in ``hot``, each window is.
@@ -351,7 +351,7 @@ def _units(t: Tokens, b: pa.RecordBatch, lo: int, hi: int, k: int, m: int):
     whole = None
     for d in range(hi - lo):
         a, z = cuts[d], cuts[d + 1]
-        normal, hot = b.column("normal")[lo + d].values, b.column("hot")[lo + d].values
+        normal, hot = b.column(prefix + "normal")[lo + d].values, b.column(prefix + "hot")[lo + d].values
         if a == z or normal is None or not (len(normal) + len(hot)):
             continue
         anchor = _signed(r.anchor[a:z])
@@ -368,7 +368,8 @@ def _units(t: Tokens, b: pa.RecordBatch, lo: int, hi: int, k: int, m: int):
 
 def cut_repeats(docs: DataFrame, k: int = 20, m: int = 4, **how) -> DataFrame:
     """The rows of ``docs`` with ``kept_text`` (kept words joined by a space), ``n_words`` and ``n_removed``."""
-    plan = removal_plan(docs, k, m, **how)
+    # names that no input column has
+    plan = removal_plan(docs, k, m, **how).withColumnsRenamed({c: f"__plan_{c}" for c in ("copy", "normal", "hot", "found")})
     rest = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed")]
     keyed_rows = with_key(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = compressed(keyed_rows.select(*rest, "text", "__id", "__key")).join(plan, ["__id", "__key"], "left")
@@ -379,11 +380,11 @@ def cut_repeats(docs: DataFrame, k: int = 20, m: int = 4, **how) -> DataFrame:
             for lo, hi, t in _blocks(texts):
                 n = len(t.start)
                 gone = np.zeros(n + 1, np.int64)
-                for d in np.flatnonzero(b.column("copy").slice(lo, hi - lo).fill_null(False).to_numpy(False)).tolist():
+                for d in np.flatnonzero(b.column("__plan_copy").slice(lo, hi - lo).fill_null(False).to_numpy(False)).tolist():
                     gone[t.first[d]] += 1
                     gone[t.first[d + 1]] -= 1
-                for d, units in _units(t, b, lo, hi, k, m):
-                    found = {x["start"]: x["bits"] for x in b.column("found")[lo + d].as_py() or ()}
+                for d, units in _units(t, b, lo, hi, k, m, "__plan_"):
+                    found = {x["start"]: x["bits"] for x in b.column("__plan_found")[lo + d].as_py() or ()}
                     for _, a, z in units:
                         bits = found.get(a - int(t.first[d]))
                         if bits is None:  # the same segment is earlier elsewhere
