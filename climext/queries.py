@@ -611,13 +611,14 @@ def pet2(spark, d):
 
 
 def _daily(spark, d) -> DataFrame:
-    """Orders of each day and priority class: every day of 1995 to 1997."""
-    o = views.table(spark, d, "orders").where("year(o_orderdate) <= 1997")
+    """Orders of each day and class of customers: every day of the whole years that the orders span."""
+    o = views.table(spark, d, "orders").where("o_orderdate is not null")
     counts = o.groupBy((F.col("o_custkey") % 5).alias("cell_id"), F.col("o_orderdate").cast("date").alias("time")).agg(
         F.count("*").cast("double").alias("value")
     )
-    days = F.explode(F.expr("sequence(DATE'1995-01-01', DATE'1997-12-31', INTERVAL 1 DAY)")).alias("time")
-    full = counts.select("cell_id").distinct().select("cell_id", days)
+    year, one, end = F.year("o_orderdate"), F.lit(1), (F.lit(12), F.lit(31))
+    span = o.agg(F.make_date(F.min(year), one, one).alias("first"), F.make_date(F.max(year), *end).alias("last"))
+    full = counts.select("cell_id").distinct().crossJoin(F.broadcast(span)).select("cell_id", F.explode(F.sequence("first", "last")).alias("time"))
     return full.join(counts, ["cell_id", "time"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
