@@ -1,11 +1,26 @@
 import datetime as dt
+import math
 from collections import Counter
+from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from climext.operators import fit
 from climext.queries import QUERIES
 
+MONTHS = [dt.datetime(1995 + i // 12, 1 + i % 12, 9) for i in range(84)]
+
+
+def _ship(path, cells: dict[int, list[float | None]]) -> str:
+    """One line a month for each supplier's quantities; no line where there is none."""
+    lines = [(cell, at, float(q), 0.05, "N") for cell, values in cells.items() for at, q in zip(MONTHS, values) if q is not None]
+    names = ["l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_returnflag"]
+    pd.DataFrame(lines, columns=names).astype({"l_shipdate": "datetime64[us]"}).to_parquet(path / "lineitem.parquet")
+    pd.DataFrame({"s_suppkey": list(cells)}).to_parquet(path / "supplier.parquet")
+    return str(path)
+
 
 def test_calendar_queries_take_every_order(spark, tmp_path):
     stamps = [dt.datetime(1995, 3, 5, 7), dt.datetime(1997, 12, 31), dt.datetime(1999, 2, 28), dt.datetime(1999, 3, 1), dt.datetime(2001, 8, 1, 23)]
@@ -21,3 +36,29 @@ def test_calendar_queries_take_every_order(spark, tmp_path):
     assert len(wide) == 2 * 7 * 366
     made = {(r["cell_id"], r["year"]): r["value"] for r in wide if r["day_366"] == 60}
     assert made == {(c, y): whole[c, dt.date(y, 2, 29)] if y % 4 == 0 else (whole[c, dt.date(y, 2, 28)] + whole[c, dt.date(y, 3, 1)]) / 2 for c in (1, 2) for y in range(1995, 2002)}
+
+
+def test_failures_are_diagnosed_on_whole_samples(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    some = [*rng.gamma(3.0, 20.0, 20), *[None] * 64]
+    d = _ship(tmp_path, {1: list(rng.gamma(3.0, 20.0, 84)), 2: [7.0] * 84, 3: some, 4: [0.0] * 84, 5: [None] * 84})
+    said = {r["cell_id"]: r["reason"] for r in QUERIES["dst17_diagnose_failure"](spark, d).collect()}
+    why = "Fitting failed for gev: "
+    assert said == {
+        1: "Fitting succeeded - no failure to diagnose.",
+        2: why + "near-constant data (var=0.00e+00)",
+        3: why + "insufficient data (20 < 30)",
+        4: why + "excessive zeros (100.0%), too few positive values (0), near-constant data (var=0.00e+00)",
+        5: why + "insufficient data (0 < 30), excessive zeros (100.0%), too few positive values (0)",
+    }
+
+
+def test_other_reasons_of_failure(spark):
+    rows = [(cell, float(v - 5 * (cell == 2))) for cell in (1, 2) for v in range(1, 41)]
+    diagnosis = fit.diagnose(spark.createDataFrame(rows, "cell_id long, value double"), ["cell_id"], "value")
+    none = spark.createDataFrame([(1, None), (2, None)], "cell_id long, alpha double")
+    said = {r["cell_id"]: r["reason"] for r in fit.diagnose_failure(diagnosis, none, ["cell_id"], "gamma").collect()}
+    assert said == {
+        1: "Fitting failed for gamma: numerical issues during parameter estimation",
+        2: "Fitting failed for gamma: negative values present (4)",
+    }
