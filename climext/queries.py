@@ -507,11 +507,8 @@ for _name in _CDF:
     SELECT cell_id, time, {_r(cdf='CASE WHEN abs(skew) < 0.01 THEN p ELSE greatest(1e-10, least(1 - 1e-10, p)) END')} FROM u WHERE a <= 1500 OR abs(skew) < 0.01""",
 )
 def dst4(spark, d):
-    """Months with a value; samples whose shape 4/skew^2 is over 1500 (skew 0.01 to 0.05) are beyond the SQL's series."""
-    df = _pool(spark, d).where("value is not null")
-    p = fit.fit(df, _K, "value", "pearson3", "moments")
-    shown = p.where("abs(skew) < 0.01 or 4 / (skew * skew) <= 1500").select("cell_id")
-    return fit.with_cdf(df, p, _K, "value", "pearson3").join(shown, "cell_id", "left_semi").select("cell_id", "time", "cdf")
+    df = _pool(spark, d)
+    return fit.with_cdf(df, fit.fit(df, _K, "value", "pearson3", "moments"), _K, "value", "pearson3").select("cell_id", "time", "cdf")
 
 
 @query(

@@ -62,3 +62,45 @@ def test_other_reasons_of_failure(spark):
         1: "Fitting failed for gamma: numerical issues during parameter estimation",
         2: "Fitting failed for gamma: negative values present (4)",
     }
+
+
+def _skew(x: np.ndarray) -> float:
+    n = len(x)
+    return float(((x - x.mean()) ** 3).mean() / x.std(ddof=1) ** 3 * math.sqrt(n * (n - 1)) / (n - 2))
+
+
+def _bent(skew: float, months: int) -> np.ndarray:
+    """``months`` values with the given sample skew."""
+    z = np.array([NormalDist().inv_cdf((i + 0.5) / months) for i in range(months)])
+    low, high = -1.0, 1.0
+    for _ in range(80):
+        c = (low + high) / 2
+        low, high = (c, high) if _skew(z + c * z * z) < skew else (low, c)
+    return 500 + 60 * (z + c * z * z)
+
+
+def _pearson3_probability(x: float, skew: float, mean: float, sd: float) -> float:
+    """By the sum of the Gamma density over fine steps."""
+    w = (x - mean) / sd
+    if abs(skew) < 0.01:
+        return (1 + math.erf(w / math.sqrt(2))) / 2
+    a = 4 / skew**2
+    t = np.linspace(max(a - 12 * math.sqrt(a), 1e-9), a + 2 * w / skew, 200_001)
+    low = float(np.trapezoid(np.exp((a - 1) * np.log(t) - t - math.lgamma(a)), t))
+    return low if skew > 0 else 1 - low
+
+
+def test_pearson3_probabilities_of_all_cells_and_months(spark, tmp_path):
+    skews = {1: 0.012, 2: 0.02, 3: 0.035, 4: 0.049, 5: -0.03, 6: 0.3, 7: -0.4, 8: 0.004}
+    cells = {cell: [None, *_bent(skew, 80), None, None, None] for cell, skew in skews.items()} | {9: [None] * 84}
+    got = {(r["cell_id"], r["time"]): r["cdf"] for r in QUERIES["dst4_pearson3_cdf"](spark, _ship(tmp_path, cells)).collect()}
+    assert set(got) == {(cell, at.date().replace(day=1)) for cell in cells for at in MONTHS}
+    for cell, values in cells.items():
+        valued = np.array([v for v in values if v is not None])
+        if len(valued):
+            assert _skew(valued) == pytest.approx(skews[cell], abs=1e-9)
+        for at, v in zip(MONTHS, values):
+            p = got[cell, at.date().replace(day=1)]
+            assert (p is None) == (v is None)
+            if v is not None:
+                assert p == pytest.approx(_pearson3_probability(v, _skew(valued), valued.mean(), valued.std(ddof=1)), abs=1e-6)
