@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample (``fit_rows`` vectors by a hash of the id); every vector of the table is
 then put into its leaf.  A query goes down the tree with a priority queue of branches, nearest centre first,
-and visits leaves in that order.  How many leaves is calibrated: for ``calibration`` vectors the true
+and visits leaves in that order, at least until they hold k vectors besides itself.  How many leaves is calibrated: for ``calibration`` vectors the true
 neighbours among all vectors are found in blocks, and the number of leaves is widened until the share of
 them in visited leaves reaches ``recall``.
 
@@ -97,14 +97,18 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, q: np.ndarray, most: int) -> list[int]:
-    """The first ``most`` leaves in order of a priority queue over branches (squared distance to the centre)."""
+def best_bins(tree: Tree, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+    """The first ``most`` leaves in order of a priority queue over branches (squared distance to the centre).
+
+    With ``sizes`` it goes on until the leaves hold ``least`` vectors together, or there are no more.
+    """
     out: list[int] = []
-    queue = [(0.0, 0)]
-    while queue and len(out) < most:
+    queue, held = [(0.0, 0)], 0
+    while queue and (len(out) < most or (sizes is not None and held < least)):
         _, node = heapq.heappop(queue)
         if node < 0:
             out.append(-1 - node)
+            held += sizes.get(-1 - node, 0) if sizes is not None else 0
             continue
         d = ((tree.centres[node] - q) ** 2).sum(axis=1)
         for dist, child in zip(d.tolist(), tree.children[node], strict=True):
@@ -220,15 +224,15 @@ def search(
     # bounds the number of leaves
     sizes = dict(placed.groupBy("leaf").agg(F.count("*").alias("n")).collect())
     first, pages = block_plan(sizes, tree.leaves, page)
-    blocks = spark.sparkContext.broadcast((first, pages))
+    blocks = spark.sparkContext.broadcast((first, pages, sizes))
 
     def route(batches):
-        first, pages = blocks.value
+        first, pages, sizes = blocks.value
         for b in batches:
             out = {"query_id": [], "block": [], "leaves": [], "q": []}
             for i, v in zip(b["vec_id"], b["v"], strict=True):
                 ways: dict[int, list[int]] = {}
-                for leaf in best_bins(shared.value, np.frombuffer(v, np.float64), visits):
+                for leaf in best_bins(shared.value, np.frombuffer(v, np.float64), visits, sizes, k + 1):
                     for n in range(pages[leaf]):
                         ways.setdefault(int(first[leaf]) + n, []).append(leaf)
                 out["query_id"] += [i] * len(ways)
@@ -238,7 +242,7 @@ def search(
             yield pd.DataFrame(out)
 
     def house(batches):
-        first, pages = blocks.value
+        first, pages, _ = blocks.value
         for b in batches:
             leaf = b["leaf"].to_numpy()
             part = (b["turn"].to_numpy() % np.maximum(pages[leaf], 1)).astype(np.int64)
