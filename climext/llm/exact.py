@@ -1,4 +1,4 @@
-"""Exact duplicates by an extendible-hash index on shared files; DataFrame functions only.
+"""Exact duplicates by hash grouping, with an extendible directory that deals hot keys; DataFrame functions only.
 
 Definitions for unusual input: a null text counts as empty, so null and empty texts are copies of each other;
 a null ``doc_id`` is smaller than any other and stays only if all its copies have none; repeated rows are
@@ -54,8 +54,9 @@ def exact_groups(docs: DataFrame, bucket_rows: int = 20_000, hash_bits: int = HA
     3. Bytes: rows are grouped by (key, text), so equality is that of the bytes; copies meet within each map
        task first, so a text with any number of copies sends one row a task.  Texts that differ under one key
        form a chain (``chain`` counts them from 0), told apart by their digests.
-    4. Owner tasks, one for each bucket page, join the index with the classes; pages of a hot bucket are dealt
-       by row and get copies of its few classes.
+    4. The index is joined with the classes by (page, key, digest).  Rows of a bucket with several pages are dealt over
+       them and each page gets copies of the bucket's classes; that is the directory's only use: no task owns a
+       bucket or a key range, and the index file is not laid out by bucket.
 
     ``hash_bits`` under 64 is for tests of chaining.
     """
@@ -97,7 +98,7 @@ def exact_groups(docs: DataFrame, bucket_rows: int = 20_000, hash_bits: int = HA
         .agg(F.min("__row").alias("keep_row"))
     )
     classes = classes.join(in_chain, ["__key", "text_sha256"], "left").join(first, ["__key", "text_sha256"], "left")
-    # owner tasks; the directory has a row for each slot at most
+    # pages; the directory has a row for each slot at most
     classes = _owned(classes, directory, depth).withColumn("__page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     page = F.pmod(F.xxhash64("__row"), F.col("pages")).cast("int")
     owned = _owned(index, directory, depth).withColumn("__page", page)
