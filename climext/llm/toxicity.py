@@ -43,6 +43,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i",
 }
 SEPARATORS = frozenset(" \t\n.-_*~'·,")
+_SEPARATOR = np.array([chr(i) in SEPARATORS and i < 128 for i in range(256)])
 _LEET_COST, _REPEAT_COST, _JOIN_COST, _BREAK_COST = 1.5, 0.7, 0.3, 2.0
 
 _ASCII = np.zeros(256, np.int8)
@@ -241,10 +242,12 @@ class Decoder:
 
 
 def _spaced_runs(raw: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Byte ranges of three or more one-character tokens in a row, by text."""
+    """Byte ranges of three or more one-character tokens in a row, by text; a token may have separators besides."""
     t = Tokens(raw, offsets, ~SPACE, hashes=False)
-    size = t.end - t.start
-    one = (size == 1) | ((size == 2) & (raw[t.start] >= 0xC3)) if len(size) else np.zeros(0, bool)
+    lead = (raw & 0xC0) != 0x80
+    dot = np.append((raw[:-1] == 0xC2) & (raw[1:] == 0xB7), False) if len(raw) else lead  # the separator of two bytes
+    chars, others = (np.append(0, np.cumsum(x, dtype=np.int64)) for x in (lead, lead & ~_SEPARATOR[raw] & ~dot))
+    one = (chars[t.end] - chars[t.start] == 1) | (others[t.end] - others[t.start] == 1)
     # a run goes on while the next token is in the same text
     go = one & np.append(False, one[:-1] & (t.doc[1:] == t.doc[:-1]))
     at = np.flatnonzero(one & ~go)

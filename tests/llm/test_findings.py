@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from climext.llm import ann
+from climext.llm import ann, toxicity
 
 
 def test_a_query_in_a_small_leaf_finds_k(spark):
@@ -14,3 +15,22 @@ def test_a_query_in_a_small_leaf_finds_k(spark):
     assert all(np.isclose(r["score"], np.sqrt(((x[r["vec_id"]] - x[800]) ** 2).sum())) for r in lone)
     few = ann.search(df.where("vec_id in (0, 20, 800)"), lambda i: i == 800, branch=2, leaf=2)
     assert few.count() == 2
+
+
+def test_spaced_runs_count_characters_and_allow_separators():
+    texts = ["you s. t. u. p. i. d there", "a £ ¡ b", "x € y z", "ab s- t· u, cd", "no run a b here", "", "it is € 5 so"]
+    want = ["s. t. u. p. i. d", "a £ ¡ b", "x € y z", "s- t· u,", None, None, None]
+    for _, _, raw, offsets in toxicity._blocks(pa.array(texts)):
+        data, spans = raw.tobytes(), toxicity._spaced_runs(raw, offsets)
+        got = [[data[a:z].decode() for a, z in spans.get(d, [])] for d in range(len(texts))]
+    assert got == [[w] if w else [] for w in want]
+
+
+def test_spaced_words_with_separators_and_lookalikes_are_restored():
+    words = "stupid idiot people talk about other things while hello world goes there".split() * 50
+    counts = np.zeros(toxicity.A**4, np.int64)
+    for _, _, raw, offsets in toxicity._blocks(pa.array([" ".join(words)])):
+        counts += np.bincount(toxicity.context_codes(toxicity.symbols(raw, offsets)), minlength=toxicity.A**4)
+    d = toxicity.Decoder(toxicity.language_model(counts))
+    for text, word in (("you s. t. u. p. i. d there", "stupid"), ("you \u00a1 d \u00a1 o t there", "idiot"), ("you p \u20ac o p l \u20ac there", "people")):
+        assert word in next(d.restored(pa.array([text]))), text
