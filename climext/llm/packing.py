@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     )
 
 
-_PACKED = "rid long, pid long, bin long, offset long, bins long, bound double, fill long"
+_PACKED = "rid long, pid long, bin long, offset long, bins long, bound double, fill long, length long"
 
 
 def _pack_partitions(items: DataFrame, capacity: int) -> DataFrame:
@@ -157,12 +157,22 @@ def _pack_partitions(items: DataFrame, capacity: int) -> DataFrame:
                 "bins": bins,
                 "bound": dual_feasible_bound(lengths, capacity),
                 "fill": fill[where],
+                "length": lengths,
             }
         )
 
     return items.select("pid", "rid", "length").groupBy("pid").applyInPandas(run, _PACKED)
 
 
+def _certified_anew(left: DataFrame, capacity: int) -> DataFrame:
+    """What stays of partitions after an exchange, with the count and bound of just that."""
+
+    def run(part):
+        return part.assign(bins=part["bin"].nunique(), bound=dual_feasible_bound(part["length"].to_numpy(), capacity))
+
+    return left.groupBy("pid").applyInPandas(run, left.schema)
+
+
 def pack_certified(
     docs: DataFrame,
     tokenizer_path: str,
@@ -179,6 +189,7 @@ def pack_certified(
     packed by best-fit decreasing and certified by its dual-feasible lower bound.  Partitions whose count
     exceeds the (unrounded) bound by more than ``slack`` hand in the documents of their emptiest sequences;
     these are pooled over all partitions, dealt anew and packed again, as long as that saves sequences.
+    ``partition_bins`` and ``partition_bound`` are those of a partition without what it handed in.
 
     A task holds one partition's lengths only; texts and ids are never gathered.
     """
@@ -213,11 +224,11 @@ def pack_certified(
         base += parts_again
         if new >= old:
             break
-        settled.append(placed.join(handed, ["pid", "bin"], "left_anti"))
+        settled.append(_certified_anew(placed.join(handed, ["pid", "bin"], "left_anti"), capacity))
         placed, parts = again, parts_again
     for done in settled:
         placed = placed.unionByName(done)
-    return pieces.join(placed, "rid").select(
+    return pieces.join(placed.drop("length"), "rid").select(
         "doc_id",
         "piece",
         "start",

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from climext.llm import ann, toxicity
+from climext.llm import ann, packing, queries, toxicity
 
 
 def test_a_query_in_a_small_leaf_finds_k(spark):
@@ -34,3 +34,14 @@ def test_spaced_words_with_separators_and_lookalikes_are_restored():
     d = toxicity.Decoder(toxicity.language_model(counts))
     for text, word in (("you s. t. u. p. i. d there", "stupid"), ("you \u00a1 d \u00a1 o t there", "idiot"), ("you p \u20ac o p l \u20ac there", "people")):
         assert word in next(d.restored(pa.array([text]))), text
+
+
+def test_certificates_are_of_what_a_partition_holds(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["word"] * n)) for i, n in enumerate(rng.integers(5, 45, 300).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_certified(df, queries.vocabulary("word_bpe_49k.json"), capacity=64, partition_bins=8, slack=0.0).toPandas()
+    assert len(got) == 300
+    for _, part in got.groupby(got["sequence_id"].to_numpy() >> 32):
+        assert set(part["partition_bins"]) == {part["sequence_id"].nunique()}
+        assert set(part["partition_bound"]) == {int(np.ceil(packing.dual_feasible_bound(part["length"].to_numpy(), 64) - 1e-9))}
