@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,6 +213,39 @@ def text_blocks(offsets: np.ndarray, most: int = 1 << 20):
         lo = min(hi, n)
 
 
+#: Bytes of text that are looked into at once; arrays of 10 to 40 bytes a byte of text then stay near 20 MB.
+PIECE = 1 << 19
+
+
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE):
+    """(start, end, document edges, is one word) of pieces of a block of :func:`text_blocks`.
+
+    A block of several documents is a piece; a longer document is cut where words end.  A word of ``most`` bytes
+    or more is a piece of its own.
+    """
+    n, a = len(raw), 0
+    if len(offsets) > 2 or n < most:
+        yield 0, n, offsets, False
+        return
+    while a < n:
+        z = min(a + most, n)
+        gaps = np.flatnonzero(SPACE[raw[a:z]])
+        whole = not len(gaps) and z - a == most
+        if whole:
+            while z < n and not len(gaps):
+                gaps = np.flatnonzero(SPACE[raw[z : z + most]])
+                z = z + int(gaps[0]) if len(gaps) else min(z + most, n)
+        elif z < n:
+            z = a + int(gaps[-1]) + 1
+        yield a, z, np.asarray([0, z - a]), whole
+        a = z
+
+
+def long_word_hash(raw: np.ndarray) -> np.ndarray:
+    """64-bit hash of a word too long for :class:`Tokens`."""
+    return np.asarray([xxhash.xxh64_intdigest(np.ascontiguousarray(raw).data)], U64)
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive word hashes (length n-k+1, or empty)."""
     n = len(h) - k + 1

@@ -14,17 +14,20 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, y) of at most ``most`` labelled documents that are not held out, chosen by a hash of the id.
 
-    One row per distinct text, so that copies of one labelled document don't count as many.
+    One row per distinct text, so that copies of one labelled document don't count as many: that of the least id;
+    of labels that disagree the smaller one counts.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
-        .dropDuplicates(["doc_id"])
     )
     # the ids are bounded by ``most``
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "y")).alias("first"))
+    return first.select("first.doc_id", "text", "first.y")

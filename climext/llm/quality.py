@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, Tokens, mix, prepare, string_buffers, text_blocks
+from .common import PIECE, SPACE, U64, Tokens, long_word_hash, mix, prepare, string_buffers, text_blocks, word_pieces
 from .labels import held_out, training_rows
 
 #: Bins of a feature; one more stands for "no such line".
@@ -29,7 +29,7 @@ FEATURES = 14
 
 
 def _table(chars: bytes) -> np.ndarray:
-    t = np.zeros(256, np.int64)
+    t = np.zeros(256, np.uint8)
     t[list(chars)] = 1
     return t
 
@@ -39,91 +39,115 @@ _LETTER = _UPPER + _table(b"abcdefghijklmnopqrstuvwxyz")
 _LETTER[0xC3:0xF5] = 1  # first bytes of other characters
 _DIGIT, _BANG, _BAR = _table(b"0123456789"), _table(b"!"), _table(b"|")
 _SIGN, _STOP = _table(b"#$%&*@^~=<>{}[]\\/_+`"), _table(b".,;:?")
+_CLASSES = (_UPPER, _LETTER, _DIGIT, _BANG, _BAR, _SIGN, _STOP)
 _EDGES = np.asarray([0.0, 0.01, 0.03, 0.06, 0.12, 0.25, 0.45, 0.7, 0.9])
 
 
 class Lines(NamedTuple):
     doc: np.ndarray
     weight: np.ndarray
-    bins: np.ndarray  # lines x FEATURES
+    bins: np.ndarray  # lines x FEATURES, uint8
 
 
-def line_features(raw: np.ndarray, offsets: np.ndarray) -> Lines:
-    """Features of every line of a block of texts; every text has one line at least."""
+def line_features(raw: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> Lines:
+    """Features of every line of a block of texts; every text has one line at least.
+
+    Bytes and words are looked into piece by piece; what stays is about 100 bytes a line.
+    """
     breaks = np.flatnonzero(raw == 10)
     # a line starts with each document and after each line feed; one after the last byte is an empty line
     starts = np.concatenate([offsets[:-1], breaks + 1])
     doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     order = np.lexsort((starts, doc))
     starts, doc = starts[order], doc[order]
+    del breaks, order
     last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
     ends = np.append(starts[1:], 0) - 1
     ends[last] = offsets[doc[last] + 1]
-    n = ends - starts
-
-    def count(table: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum(table[raw], out=sums[1:])
-        return (sums[ends] - sums[starts]).astype(np.float64)
-
-    upper = count(_UPPER)
-    second = np.zeros(len(raw) + 1, np.int32)
-    accented = np.zeros(len(raw), bool)
-    accented[1:] = (raw[:-1] == 0xC3) & (raw[1:] < 0x9F)
-    np.cumsum(accented, out=second[1:])
-    upper += second[ends] - second[starts]
-    letters, digits, bangs, bars = count(_LETTER), count(_DIGIT), count(_BANG), count(_BAR)
-    signs, stops = count(_SIGN), count(_STOP)
-    t = Tokens(raw, offsets, ~SPACE)
-    line = np.searchsorted(starts, t.start, "right") - 1
-    words = np.bincount(line, minlength=len(starts)).astype(np.float64)
-    again, again2 = np.zeros(len(line)), np.zeros(len(line))
-    again[1:] = (t.hash[1:] == t.hash[:-1]) & (line[1:] == line[:-1])
-    again2[2:] = (t.hash[2:] == t.hash[:-2]) & (line[2:] == line[:-2])
-    repeats, repeats2 = (np.bincount(line, x, minlength=len(starts)) for x in (again, again2))
-    longest = np.zeros(len(starts))
-    np.maximum.at(longest, line, (t.end - t.start).astype(np.float64))
-    with np.errstate(over="ignore"):
-        place = np.arange(len(line)) - np.searchsorted(line, line)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(t.hash ^ mix(place.astype(U64))), dtype=U64)])
-    firsts = np.searchsorted(line, np.arange(len(starts) + 1))
-    same = np.lexsort((sums[firsts[1:]] - sums[firsts[:-1]], doc))
-    digest = (sums[firsts[1:]] - sums[firsts[:-1]])[same]
-    twin = np.zeros(len(starts), bool)
+    lines = len(starts)
+    upper, letters, digits, bangs, bars, signs, stops = counts = [np.zeros(lines, np.int32) for _ in _CLASSES]
+    words, repeats, repeats2, longest = (np.zeros(lines, np.int32) for _ in range(4))
+    digest = np.zeros(lines, U64)
+    tail_hash, tail_line = np.zeros(0, U64), np.zeros(0, np.int64)  # the two words before a piece
+    for a in range(0, len(raw), piece):
+        z = min(a + piece, len(raw))
+        part = raw[a:z]
+        l0, l1 = int(np.searchsorted(ends, a, "left")), int(np.searchsorted(starts, z, "right"))
+        lo, hi = np.clip(starts[l0:l1], a, z) - a, np.clip(ends[l0:l1], a, z) - a
+        sums = np.zeros(len(part) + 1, np.int32)
+        for table, out in zip(_CLASSES, counts, strict=True):
+            np.cumsum(table[part], out=sums[1:])
+            out[l0:l1] += sums[hi] - sums[lo]
+        before = np.append(raw[a - 1] if a else 0, part[:-1])
+        accented = (before == 0xC3) & (part < 0x9F)
+        np.cumsum(accented, out=sums[1:])
+        upper[l0:l1] += sums[hi] - sums[lo]
+    for a, z, edges, one_word in word_pieces(raw, offsets, piece):
+        part = raw[a:z]
+        l0, l1 = int(np.searchsorted(ends, a, "left")), int(np.searchsorted(starts, z, "right"))
+        if one_word:
+            first, end, h = np.zeros(1, np.int64), np.asarray([len(part)]), long_word_hash(part)
+        else:
+            t = Tokens(part, edges, ~SPACE)
+            first, end, h = t.start, t.end, t.hash
+        if not len(first):
+            continue
+        line = l0 + np.searchsorted(starts[l0:l1], first + a, "right") - 1
+        k = len(tail_hash)
+        h2, line2 = np.concatenate([tail_hash, h]), np.concatenate([tail_line, line])
+        for gap, out in ((1, repeats), (2, repeats2)):
+            again = np.flatnonzero((h2[gap:] == h2[:-gap]) & (line2[gap:] == line2[:-gap])) + gap
+            np.add.at(out, line2[again[again >= k]], 1)
+        tail_hash, tail_line = h2[-2:], line2[-2:]
+        np.maximum.at(longest, line, (end - first).astype(np.int32))
+        begins = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        here, n_here = line[begins], np.diff(np.append(begins, len(line)))
+        place = np.arange(len(line)) - np.repeat(begins - words[here], n_here)
+        with np.errstate(over="ignore"):
+            digest[here] += np.add.reduceat(mix(h ^ mix(place.astype(U64))), begins)
+        words[here] += n_here.astype(np.int32)
+    same = np.lexsort((digest, doc))
+    digest = digest[same]
+    twin = np.zeros(lines, bool)
     twin[same[1:]] = (digest[1:] == digest[:-1]) & (doc[same][1:] == doc[same][:-1]) & (words[same[1:]] > 0)
+    n = ends - starts
     some, any_letters, any_words = np.maximum(n, 1), np.maximum(letters, 1), np.maximum(words, 1)
-
-    def ratio(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return np.searchsorted(_EDGES, x / of, "left")
-
-    tail = np.zeros(len(starts), np.int64)
-    full = n > 0
-    tail[full] = 1 + _STOP[raw[ends[full] - 1]] + 2 * _BANG[raw[ends[full] - 1]] + 3 * _SIGN[raw[ends[full] - 1]]
-    bins = np.stack(
-        [
-            ratio(upper, any_letters),
-            ratio(letters, some),
-            ratio(digits, some),
-            ratio(bangs, any_words),
-            ratio(bars, any_words),
-            ratio(signs, any_words),
-            ratio(stops, any_words),
-            ratio(repeats, any_words),
-            ratio(repeats2, any_words),
-            np.minimum(longest // 4, BINS - 1).astype(np.int64),
-            np.minimum(np.log2(some).astype(np.int64), BINS - 1),
-            np.minimum(np.log2(any_words).astype(np.int64), BINS - 1),
-            twin.astype(np.int64),
-            tail,
-        ],
-        axis=1,
-    )
-    return Lines(doc, n + 1.0, np.minimum(bins, BINS - 1).astype(np.int64))
+    tail = np.zeros(lines, np.uint8)
+    full = np.flatnonzero(n > 0)
+    final = raw[ends[full] - 1]
+    tail[full] = 1 + _STOP[final] + 2 * _BANG[final] + 3 * _SIGN[final]
+    bins = np.empty((lines, FEATURES), np.uint8)
+    shares = (
+        (upper, any_letters), (letters, some), (digits, some), (bangs, any_words), (bars, any_words), (signs, any_words),
+        (stops, any_words), (repeats, any_words), (repeats2, any_words),
+    )
+    for f, (x, of) in enumerate(shares):
+        bins[:, f] = np.minimum(np.searchsorted(_EDGES, x / of, "left"), BINS - 1)
+    bins[:, 9] = np.minimum(longest // 4, BINS - 1)
+    bins[:, 10] = np.minimum(np.log2(some), BINS - 1)
+    bins[:, 11] = np.minimum(np.log2(any_words), BINS - 1)
+    bins[:, 12] = twin
+    bins[:, 13] = tail
+    return Lines(doc, n + 1.0, bins)
+
+
+def node_scores(x: Lines, weights: np.ndarray) -> np.ndarray:
+    """Score of good over bad of each line, added up feature by feature."""
+    own, before, after = weights.reshape(3, FEATURES, BINS + 1)
+    node, left, right = (np.zeros(len(x.doc)) for _ in range(3))
+    for f in range(FEATURES):
+        b = x.bins[:, f]
+        node += own[f][b]
+        left += before[f][b]
+        right += after[f][b]
+    first = np.append(True, x.doc[1:] != x.doc[:-1])
+    node += np.where(first, before[:, BINS].sum(), np.append(0.0, left[:-1]))
+    return node + np.where(np.append(first[1:], True), after[:, BINS].sum(), np.append(right[1:], 0.0))
 
 
 def active_features(x: Lines) -> np.ndarray:
     """Numbers of the features that hold for each line: own, those of the line before, those of the line after."""
-    own = x.bins + np.arange(FEATURES) * (BINS + 1)
+    own = x.bins.astype(np.int64) + np.arange(FEATURES) * (BINS + 1)
     width = FEATURES * (BINS + 1)
     none = BINS + np.arange(FEATURES) * (BINS + 1)
     before, after = np.empty_like(own), np.empty_like(own)
@@ -137,16 +161,54 @@ def active_features(x: Lines) -> np.ndarray:
 N_WEIGHTS = 3 * FEATURES * (BINS + 1)
 
 
+#: Lines that a chain advances one by one; longer chains are cut into segments that advance together.
+SEGMENT = 512
+
+
+def _step(v0: np.ndarray, v1: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log of (exp v) times (exp m), for rows v = (v0, v1) and 2x2 matrices m."""
+    return np.logaddexp(v0 + m[..., 0, 0], v1 + m[..., 1, 0]), np.logaddexp(v0 + m[..., 0, 1], v1 + m[..., 1, 1])
+
+
 class Chains:
-    """Documents laid out so that all chains advance together."""
+    """Documents laid out so that all chains, and all segments of long ones, advance together."""
 
-    def __init__(self, doc: np.ndarray):
-        start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    def __init__(self, doc: np.ndarray, segment: int = SEGMENT):
+        start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(doc)))
-        order = np.argsort(-length, kind="stable")
-        self.start, self.length = start[order], length[order]
-        live = np.searchsorted(-self.length, -np.arange(self.length.max() if len(length) else 0), "left")
-        self.at = [self.start[:n] + i for i, n in enumerate(live.tolist())]  # lines at step i
+        parts = -(-length // segment)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(start, parts) + nth * segment
+        size = np.minimum(segment, np.repeat(start + length, parts) - begin)
+        order = np.argsort(-size, kind="stable")
+        self.start, self.nth, self.many = start, nth, np.repeat(parts, parts) > 1
+        self.order, self.begin, self.size = order, begin, size
+        live = np.searchsorted(-size[order], -np.arange(size.max() if len(size) else 0), "left")
+        self.at = [begin[order[:n]] + i for i, n in enumerate(live.tolist())]  # lines at step i
+
+    def _borders(self, node: np.ndarray, edge: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward scores before each segment and backward scores after it, from the segments' transfer matrices."""
+        enter, leave = np.zeros((len(self.nth), 2)), np.zeros((len(self.nth), 2))
+        some = self.order[self.many[self.order]]  # segments of long chains, longest first
+        if not len(some):
+            return enter, leave
+        move = np.empty((len(self.nth), 2, 2))
+        move[some] = into[some]
+        move[some, :, 1] += node[self.begin[some], None]
+        for i in range(1, int(self.size[some[0]])):
+            live = some[: int(np.searchsorted(-self.size[some], -i, "left"))]
+            m = move[live]
+            for y in (0, 1):
+                move[live, y, 0], move[live, y, 1] = _step(m[:, y, 0], m[:, y, 1], edge)
+            move[live, :, 1] += node[self.begin[live] + i, None]
+        inner = np.flatnonzero(self.many & (self.nth > 0))
+        inner = inner[np.argsort(self.nth[inner], kind="stable")]
+        rounds = np.split(inner, np.flatnonzero(np.diff(self.nth[inner])) + 1)
+        for s in rounds:
+            enter[s, 0], enter[s, 1] = _step(enter[s - 1, 0], enter[s - 1, 1], move[s - 1])
+        for s in reversed(rounds):
+            leave[s - 1, 0], leave[s - 1, 1] = _step(leave[s, 0], leave[s, 1], np.swapaxes(move[s], 1, 2))
+        return enter, leave
 
     def marginals(self, node: np.ndarray, edge: np.ndarray):
         """P(good) of each line, expected counts of label pairs, and the log partition sum over all chains.
@@ -154,21 +216,23 @@ class Chains:
         ``node``: score of good over bad for each line; ``edge``: 2x2 scores of neighbouring labels.
         """
         n = len(node)
+        # a chain starts from either label with half the weight
+        into = np.where((self.nth == 0)[:, None, None], -np.log(2.0), edge[None])
+        enter, leave = self._borders(node, edge, into)
         a, b = np.zeros((n, 2)), np.zeros((n, 2))
-        score = np.stack([np.zeros(n), node], axis=1)
         for i, at in enumerate(self.at):
             if i == 0:
-                a[at] = score[at]
+                e = enter[self.order]
+                a[at, 0], a[at, 1] = _step(e[:, 0], e[:, 1], into[self.order])
             else:
                 p = a[at - 1]
-                a[at, 0] = np.logaddexp(p[:, 0] + edge[0, 0], p[:, 1] + edge[1, 0])
-                a[at, 1] = np.logaddexp(p[:, 0] + edge[0, 1], p[:, 1] + edge[1, 1]) + score[at, 1]
+                a[at, 0], a[at, 1] = _step(p[:, 0], p[:, 1], edge)
+            a[at, 1] += node[at]
+        b[self.begin + self.size - 1] = leave
         for i in range(len(self.at) - 2, -1, -1):
             nxt = self.at[i + 1]
             at = nxt - 1
-            s = score[nxt] + b[nxt]
-            b[at, 0] = np.logaddexp(edge[0, 0] + s[:, 0], edge[0, 1] + s[:, 1])
-            b[at, 1] = np.logaddexp(edge[1, 0] + s[:, 0], edge[1, 1] + s[:, 1])
+            b[at, 0], b[at, 1] = _step(b[nxt, 0], b[nxt, 1] + node[nxt], edge.T)
         z = np.logaddexp(a[:, 0] + b[:, 0], a[:, 1] + b[:, 1])
         good = np.exp(np.minimum(a[:, 1] + b[:, 1] - z, 0))
         pairs = np.zeros((2, 2))
@@ -177,7 +241,7 @@ class Chains:
         to = np.flatnonzero(inner)
         for y in (0, 1):
             for w in (0, 1):
-                pairs[y, w] = np.exp(a[to - 1, y] + edge[y, w] + score[to, w] + b[to, w] - z[to]).sum()
+                pairs[y, w] = np.exp(a[to - 1, y] + edge[y, w] + w * node[to] + b[to, w] - z[to]).sum()
         return good, pairs, float(z[self.start].sum())
 
 
@@ -214,7 +278,7 @@ def fit(features: np.ndarray, doc: np.ndarray, y: np.ndarray, steps: int = 120,
 
 def _blocks(texts: pa.Array):
     raw, offsets = string_buffers(texts)
-    for lo, hi in text_blocks(offsets, 1 << 21):
+    for lo, hi in text_blocks(offsets, PIECE):
         yield lo, hi, line_features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
@@ -225,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_lines:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, x in _blocks(b.column("text")):
-                bins = x.bins.astype(np.uint8)
+                bins = x.bins
                 cuts = np.searchsorted(x.doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -248,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_lines:
         return Model(np.zeros(N_WEIGHTS), np.zeros((2, 2)))
     bins = [np.frombuffer(x, np.uint8).reshape(-1, FEATURES) for x in rows["bins"]]
     doc = np.repeat(np.arange(len(bins)), [len(x) for x in bins])
-    lines = Lines(doc, np.ones(len(doc)), np.concatenate(bins).astype(np.int64))
+    lines = Lines(doc, np.ones(len(doc)), np.concatenate(bins))
     return fit(active_features(lines), doc, np.repeat(rows["y"].to_numpy(np.int64), [len(x) for x in bins]))
 
 
@@ -262,7 +326,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for b in batches:
             out = [np.zeros(0)]
             for _, _, x in _blocks(b.column("text").cast(pa.string())):
-                good, _, _ = Chains(x.doc).marginals(model.weights[active_features(x)].sum(axis=1), model.edge)
+                good, _, _ = Chains(x.doc).marginals(node_scores(x, model.weights), model.edge)
                 out.append(np.bincount(x.doc, good * x.weight) / np.bincount(x.doc, x.weight))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out))], names=[*b.schema.names, column])
 
