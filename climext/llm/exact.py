@@ -1,4 +1,4 @@
-"""Exact duplicates by hash grouping, with an extendible directory that deals hot keys; DataFrame functions only.
+"""Exact duplicates through an extendible-hash index on shared files; DataFrame functions only.
 
 Definitions for unusual input: a null text counts as empty, so null and empty texts are copies of each other;
 a null ``doc_id`` is smaller than any other and stays only if all its copies have none; repeated rows are
@@ -14,128 +14,152 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 HASH_BITS = 64
-#: Stands for a null doc_id inside; smaller than any other.
-NO_ID = -(1 << 63)
+C = F.col
 
 
-def _prefix(bits: int):
-    """The leading ``bits`` of the 64-bit key."""
-    return F.shiftrightunsigned(F.col("__key"), HASH_BITS - bits) if bits else F.lit(0).cast("long")
+def _slot(depth: int):
+    """The directory slot of a row: the leading ``depth`` bits of its 64-bit key."""
+    return F.shiftrightunsigned(C("__key"), HASH_BITS - depth) if depth else F.lit(0).cast("long")
 
 
-def _directory(index: DataFrame, bucket_rows: int, max_depth: int) -> DataFrame:
-    """(slot, depth, pages): the directory, doubled until no bucket has more than ``bucket_rows`` rows.
+def split_buckets(
+    leaves: dict[int, tuple[int, int]], depth: int, rows: int, size: int
+) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Buckets (local depth, prefix, first owner, pages) of the directory, and the number of owners.
 
-    The histogram of the deepest directory has 2**max_depth rows at most, whatever the input; splitting a
-    bucket turns one of its rows into two.  A bucket that is overfull at that depth (one text with a great
-    many copies) is chained over several pages.
+    ``leaves`` counts (rows, bytes) of each slot of a directory of ``depth`` bits.  The directory starts with one
+    slot and doubles as long as a bucket holds more than ``rows`` rows or ``size`` bytes; a bucket that can't be
+    split any more gets a chain of pages.  Owners take neighbouring buckets (a range of keys) until they are
+    full; a page has an owner of its own.
     """
-    leaf = index.groupBy(_prefix(max_depth).alias("slot")).count()
-    counts: dict[tuple[int, int], int] = {(max_depth, r["slot"]): r["count"] for r in leaf.collect()}
-    for d in range(max_depth, 0, -1):
-        for s in {s >> 1 for depth, s in counts if depth == d}:
-            counts[d - 1, s] = counts.get((d, 2 * s), 0) + counts.get((d, 2 * s + 1), 0)
-    rows, todo = [], [(0, 0)]
-    while todo:
-        depth, s = todo.pop()
-        n = counts.get((depth, s), 0)
-        if n > bucket_rows and depth < max_depth:
-            todo += [(depth + 1, 2 * s), (depth + 1, 2 * s + 1)]
-        elif n:
-            rows.append((depth, s, -(-n // bucket_rows)))
-    return index.sparkSession.createDataFrame(rows, "depth int, bucket long, pages int")
-
-
-def exact_groups(docs: DataFrame, bucket_rows: int = 20_000, hash_bits: int = HASH_BITS) -> DataFrame:
+    levels = [leaves]
+    for _ in range(depth):
+        up: dict[int, tuple[int, int]] = {}
+        for s, (n, b) in levels[-1].items():
+            m, c = up.get(s >> 1, (0, 0))
+            up[s >> 1] = (m + n, c + b)
+        levels.append(up)
+    levels.reverse()  # levels[d]: slots of a directory of d bits
+    made, overfull = [], sorted(levels[0])
+    for d, level in enumerate(levels):
+        fits = [s for s in overfull if d == depth or (level[s][0] <= rows and level[s][1] <= size)]
+        made += [(d, s, *level[s]) for s in fits]
+        split = set(overfull) - set(fits)
+        overfull = [s for x in sorted(split) for s in (2 * x, 2 * x + 1) if d < depth and s in levels[d + 1]]
+    made.sort(key=lambda b: b[1] << (depth - b[0]))
+    out, owner, held, weight = [], -1, rows, size
+    for d, s, n, b in made:
+        pages = max(1, -(-n // rows), min(n, -(-b // size)))
+        if pages > 1:
+            out.append((d, s, owner + 1, pages))
+            owner, held = owner + pages, rows
+        elif held + n > rows or weight + b > size:
+            owner, held, weight = owner + 1, n, b
+            out.append((d, s, owner, 1))
+        else:
+            held, weight = held + n, weight + b
+            out.append((d, s, owner, 1))
+    return out, owner + 1
+
+
+def _directory(rows: DataFrame, bucket_rows: int, bucket_bytes: int, max_depth: int) -> tuple[DataFrame, int, bool]:
+    """(slot, first owner, pages), the number of owners, and whether a bucket has several pages.
+
+    Counts of 2**max_depth slots at most come to the driver, whatever the input; buckets grow with the input
+    beyond ``bucket_rows`` only where so many slots don't suffice.
+    """
+    found = rows.groupBy(_slot(max_depth).alias("s")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    leaves = {r["s"]: (r["n"], r["b"]) for r in found.collect()}
+    total, size = (sum(x) for x in zip(*leaves.values(), strict=True)) if leaves else (0, 0)
+    least = lambda most, x: max(most, x >> max_depth)
+    buckets, owners = split_buckets(leaves, max_depth, least(bucket_rows, total), least(bucket_bytes, size))
+    frame = rows.sparkSession.createDataFrame(buckets, "depth int, prefix long, first int, pages int")
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(max_depth) - C("depth"))
+    slots = F.explode(F.sequence(C("prefix") * low, (C("prefix") + 1) * low - 1)).alias("__slot")
+    return frame.select(slots, "first", "pages"), owners, any(p > 1 for *_, p in buckets)
+
+
+def exact_groups(
+    docs: DataFrame, bucket_rows: int = 5000, bucket_bytes: int = 64 << 20, max_depth: int = 16, hash_bits: int = HASH_BITS
+) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, chain: one row for each row of ``docs``.
 
-    1. Index file: key, digest and id of every row, written once to the shared folder.
-    2. Directory: doubled until its buckets hold ``bucket_rows`` rows at most; 2**20 slots at the most.
-    3. Bytes: rows are grouped by (key, text), so equality is that of the bytes; copies meet within each map
-       task first, so a text with any number of copies sends one row a task.  Texts that differ under one key
-       form a chain (``chain`` counts them from 0), told apart by their digests.
-    4. The index is joined with the classes by (page, key, digest).  Rows of a bucket with several pages are dealt over
-       them and each page gets copies of the bucket's classes; that is the directory's only use: no task owns a
-       bucket or a key range, and the index file is not laid out by bucket.
+    1. Directory: from the counts of key prefixes, doubled until no bucket is overfull.
+    2. Owner tasks: a row goes to the task that owns its bucket, a range of keys; the rows of a bucket that can't
+       be split (one text with a great many copies) are dealt over its pages' owners.  The owner sorts its rows
+       by key and text: rows of one key make a chain, rows of one chain whose bytes agree are copies.
+    3. The owners write what they found as the index: one shared file each, in key order.
+    4. Pages of one bucket are merged: the first row of each page's copies, with its bytes, meets those of the other
+       pages, and what is found goes back to the pages' rows.
 
     ``hash_bits`` under 64 is for tests of chaining.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(C("text").cast("string"), F.lit(""))
     key = F.xxhash64(text)
     if hash_bits < HASH_BITS:
         key = F.shiftleft(key, HASH_BITS - hash_bits)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(doc.alias("__id"), key.alias("__key"), text.alias("text"))
-    index = materialize(
-        rows.select("__id", "__key", F.sha2("text", 256).alias("text_sha256")).withColumn(
-            "__row", F.monotonically_increasing_id()
-        ),
-        "index",
-    )
-    depth = min(20, max(4, (index.count() // bucket_rows).bit_length() + 4))
-    directory = _directory(index, bucket_rows, depth)
-    # byte-exact classes
-    classes = (
-        rows.groupBy("__key", "text")
-        .agg(F.max("__id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("__key", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    classes = materialize(classes, "classes")
-    chained = classes.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
-    in_chain = classes.join(chained, "__key", "left_semi").select(
-        "__key",
-        "text_sha256",
-        (F.row_number().over(Window.partitionBy("__key").orderBy("text_sha256")) - 1).alias("chain"),
+    rows = docs.select(C("doc_id").cast("long").alias("__id"), key.alias("__key"), text.alias("text"))
+    directory, owners, paged = _directory(rows, bucket_rows, bucket_bytes, max_depth)
+    turn = F.pmod(F.xxhash64("__row"), C("pages")).cast("int")
+    owned = (
+        rows.withColumns({"__row": F.monotonically_increasing_id(), "__slot": _slot(max_depth)})
+        .join(F.broadcast(directory), "__slot")
+        .select("__id", "__row", "__key", "text", "pages", (C("first") + turn).alias("__owner"))
+        .repartitionById(max(1, owners), C("__owner"))
     )
-    # of rows that agree in the kept id, the first one is kept
-    first = (
-        index.join(
-            classes.where("group_size > 1").select("__key", "text_sha256", F.col("keep_id").alias("__id")),
-            ["__key", "text_sha256", "__id"],
-            "left_semi",
+    same = Window.partitionBy("__owner", "__key", "text")
+    best = same.orderBy(C("__id").desc_nulls_last(), "__row")
+    chain = Window.partitionBy("__owner", "__key").orderBy("text", C("__id").desc_nulls_last(), "__row").rowsBetween(Window.unboundedPreceding, 0)
+    index = (
+        owned.withColumns(
+            {"nth": F.row_number().over(best), "keep_id": F.first("__id").over(best), "keep_row": F.first("__row").over(best)}
         )
-        .groupBy("__key", "text_sha256")
-        .agg(F.min("__row").alias("keep_row"))
+        .withColumns({"chain": F.count_if(C("nth") == 1).over(chain) - 1, "group_size": F.count("*").over(same)})
+        .withColumns({"text_sha256": F.sha2("text", 256), "head": F.when((C("pages") > 1) & (C("nth") == 1), C("text"))})
+        .drop("text", "nth")
     )
-    classes = classes.join(in_chain, ["__key", "text_sha256"], "left").join(first, ["__key", "text_sha256"], "left")
-    # pages; the directory has a row for each slot at most
-    classes = _owned(classes, directory, depth).withColumn("__page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    page = F.pmod(F.xxhash64("__row"), F.col("pages")).cast("int")
-    owned = _owned(index, directory, depth).withColumn("__page", page)
-    on = ["__page", "__key", "text_sha256"]
-    return owned.select("__id", "__row", *on).join(
-        classes.select("keep_id", "group_size", "chain", "keep_row", *on), on
-    ).select(
-        F.nullif("__id", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"),
+    index = materialize(index, "index")
+    shown = [
+        C("__id").alias("doc_id"),
+        "keep_id",
         "group_size",
-        (F.coalesce(F.col("keep_row"), F.col("__row")) == F.col("__row")).alias("kept"),
+        (C("keep_row") == C("__row")).alias("kept"),
         "text_sha256",
-        F.coalesce("chain", F.lit(0)).alias("chain"),
-    )
-
-
-def _owned(df: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
-    """Add the bucket's pages: of the directory slot that the key's leading bits name."""
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(depth) - F.col("depth"))
-    slots = directory.select(
-        F.explode(F.sequence(F.col("bucket") * low, (F.col("bucket") + 1) * low - 1)).alias("__slot"), "pages"
+        C("chain").cast("int").alias("chain"),
+    ]
+    if not paged:
+        return index.select(*shown)
+    spread = index.where("pages > 1")
+    heads = spread.where("head is not null").select("__owner", "__key", "chain", "head", "keep_id", "keep_row", "group_size")
+    first = F.max(F.struct(C("keep_id").isNotNull(), "keep_id", (-C("keep_row")).alias("r")))
+    classes = heads.groupBy("__key", "head").agg(first.alias("best"), F.sum("group_size").alias("n"))
+    classes = classes.withColumn("place", F.row_number().over(Window.partitionBy("__key").orderBy("head")) - 1)
+    merged = heads.select("__owner", "__key", C("chain").alias("at"), "head").join(classes, ["__key", "head"])
+    merged = materialize(
+        merged.select(
+            "__owner", "__key", "at", C("best.keep_id").alias("keep_id"), (-C("best.r")).alias("keep_row"),
+            C("n").alias("group_size"), C("place").alias("chain"),
+        ),
+        "pages",
+    )
+    rest = spread.select("__owner", "__key", C("chain").alias("at"), "__id", "__row", "text_sha256")
+    return (
+        index.where("pages = 1").select(*shown).unionByName(rest.join(merged, ["__owner", "__key", "at"]).select(*shown))
     )
-    return df.withColumn("__slot", _prefix(depth)).join(F.broadcast(slots), "__slot")
 
 
 def exact_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest ``doc_id``."""
     groups = materialize(exact_groups(docs, **how), "groups")
-    stay = groups.where("kept").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")
-    )
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    named = docs.withColumns({"__dedup_id": doc, "__dedup_sha": sha})
-    out = named.join(
-        stay, (F.col("__dedup_id") == F.col("__stay_id")) & (F.col("__dedup_sha") == F.col("__stay_sha")), "left_semi"
+    stay = groups.where("kept").select(C("doc_id").alias("__stay_id"), C("text_sha256").alias("__stay_sha"))
+    named = docs.withColumns(
+        {
+            "__dedup_id": C("doc_id").cast("long"),
+            "__dedup_sha": F.sha2(F.coalesce(C("text").cast("string"), F.lit("")), 256),
+        }
     )
+    same = (C("__dedup_sha") == C("__stay_sha")) & C("__dedup_id").eqNullSafe(C("__stay_id"))
+    out = named.join(stay, same, "left_semi")
     if not groups.where("not kept and doc_id <=> keep_id").isEmpty():  # repeated rows of a kept id
         out = out.dropDuplicates(["__dedup_id", "__dedup_sha"])
     return out.drop("__dedup_id", "__dedup_sha")
