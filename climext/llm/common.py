@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -60,28 +61,39 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(__id, __key, text): never-null id (null sorts last), hash of the text, text without null.
+    """(__id, __none, __key, text): never-null id (null sorts last), whether it is null, hash of the text, text without null.
 
-    Rows that agree in ``__id`` and ``__key`` are repeated rows: they share every result.
+    Rows that agree in ``__id``, ``__none`` and ``__key`` are repeated rows: they share every result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("__id"),
+        F.col("doc_id").cast("long").isNull().alias("__none"),
         F.xxhash64(text).alias("__key"),
         text.alias("text"),
     )
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """The input rows with ``__id`` and ``__key`` appended, for joining results back."""
+    """The input rows with ``__id``, ``__none`` and ``__key`` appended, for joining results back."""
     return docs.withColumns(
         {
             "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)),
+            "__none": F.col("doc_id").cast("long").isNull(),
             "__key": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
         }
     )
 
 
+def wrapped(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, text and all other columns as one, so that no name of theirs can clash; and what unwraps rows again."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return docs, lambda df: df.select(*docs.columns)
+    inner = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest"))
+    return inner, lambda df: df.select(*(F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns))
+
+
 def compressed(df: DataFrame) -> DataFrame:
     """``text`` as zstd frames: half the bytes in a shuffle of whole texts."""
     import zstandard
@@ -217,11 +229,11 @@ def text_blocks(offsets: np.ndarray, most: int = 1 << 20):
 PIECE = 1 << 19
 
 
-def word_pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE):
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE, apart: np.ndarray = SPACE):
     """(start, end, document edges, is one word) of pieces of a block of :func:`text_blocks`.
 
-    A block of several documents is a piece; a longer document is cut where words end.  A word of ``most`` bytes
-    or more is a piece of its own.
+    A block of several documents is a piece; a longer document is cut where words end (after a byte of ``apart``).
+    A word of ``most`` bytes or more is a piece of its own.
     """
     n, a = len(raw), 0
     if len(offsets) > 2 or n < most:
@@ -229,11 +241,11 @@ def word_pieces(raw: np.ndarray, offsets: np.ndarray, most: int = PIECE):
         return
     while a < n:
         z = min(a + most, n)
-        gaps = np.flatnonzero(SPACE[raw[a:z]])
+        gaps = np.flatnonzero(apart[raw[a:z]])
         whole = not len(gaps) and z - a == most
         if whole:
             while z < n and not len(gaps):
-                gaps = np.flatnonzero(SPACE[raw[z : z + most]])
+                gaps = np.flatnonzero(apart[raw[z : z + most]])
                 z = z + int(gaps[0]) if len(gaps) else min(z + most, n)
         elif z < n:
             z = a + int(gaps[-1]) + 1
@@ -246,6 +258,25 @@ def long_word_hash(raw: np.ndarray) -> np.ndarray:
     return np.asarray([xxhash.xxh64_intdigest(np.ascontiguousarray(raw).data)], U64)
 
 
+class Words:
+    """Word hashes of a block in order, and where each document's begin; 8 bytes a word stay, whatever the text."""
+
+    __slots__ = ("first", "hash")
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, most: int = PIECE):
+        found, first = [], np.zeros(len(offsets), np.int64)
+        for a, z, edges, whole in word_pieces(raw, offsets, most, ~is_word):
+            if whole:
+                found.append(long_word_hash(raw[a:z]))
+                continue
+            t = Tokens(raw[a:z], edges, is_word)
+            found.append(t.hash)
+            if len(offsets) > 2:
+                first = t.first
+        self.hash = np.concatenate(found) if found else np.zeros(0, U64)
+        self.first = np.asarray([0, len(self.hash)]) if len(offsets) == 2 else first
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive word hashes (length n-k+1, or empty)."""
     n = len(h) - k + 1

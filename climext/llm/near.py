@@ -5,13 +5,13 @@ underscores); fewer than five words make one shingle.  Two documents are linked
 similarity of their multisets (sum of minima over sum of maxima) is ``threshold`` or more; classes are the
 connected components of the links, named by their least doc_id.
 
-Signature (DartMinHash): every unit of weight of an element owns a region one wide and endless along the rank
-axis.  Darts fall on it as a Poisson process whose randomness comes from hashes of the element, so equal
-regions hold equal darts in all documents.  Ranks are cut into dyadic cells;
-a document looks only at cells below its own rank bound (darts wanted / total weight), so long documents
-look at a fraction of their units and short ones at more cells.  Each dart is dealt to one of K coordinates;
-the earliest of each is the signature, and two documents agree in a coordinate with probability equal to
-their weighted Jaccard similarity.
+Signature (DartMinHash): an element of weight w owns a region w wide and endless along the rank axis; here the
+weight is the number of times a shingle occurs, and any real weight does.  Darts fall on it as a Poisson process whose
+randomness comes from hashes of the element and the place, so where regions overlap they hold equal darts in all
+documents.  Ranks are cut into dyadic cells, weights into dyadic columns; a document looks only at cells below its
+own rank bound (darts wanted / total weight), so the work hardly depends on its weights.  Each dart is dealt to one of K
+coordinates; the earliest of each is the signature, and two documents agree in a coordinate with probability
+equal to their weighted Jaccard similarity.
 
 Candidates share all ``rows`` coordinates of one of the bands.  They are joined by stars (every member with its
 bucket's least), so a bucket of n documents sends n links, never n^2.  Connected families of up to
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, U64, WORD, Tokens, keyed, materialize, mix, prepare, shingle_hashes, string_buffers, text_blocks, unit, with_key
+from .common import PIECE, U64, WORD, Words, keyed, materialize, mix, prepare, shingle_hashes, string_buffers, text_blocks, unit, with_key, wrapped
 
 K, ROWS, SHINGLE = 120, 5, 5
 
@@ -43,29 +43,42 @@ K, ROWS, SHINGLE = 120, 5, 5
 # ---------------------------------------------------------------- shingles and darts
 
 
-def shingle_units(t: Tokens, docs: int, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 64-bit unit) of every shingle of a block: the j-th copy of a shingle in a document is unit (shingle, j)."""
-    n = len(t.start)
-    words = np.diff(t.first)
+def shingle_counts(t: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle, times) of a block, sorted by document and shingle."""
+    docs, words = len(t.first) - 1, np.diff(t.first)
     h = shingle_hashes(t.hash, k)
-    ok = np.flatnonzero(t.doc[: len(h)] == t.doc[k - 1 :]) if len(h) else np.zeros(0, np.int64)
-    doc, value = t.doc[ok], h[ok]
+    if docs == 1:
+        value = h
+        doc = np.zeros(len(h), np.int32)
+    else:
+        of = np.repeat(np.arange(docs, dtype=np.int32), words)
+        ok = np.flatnonzero(of[: len(h)] == of[k - 1 :]) if len(h) else np.zeros(0, np.int64)
+        doc, value = of[ok], h[ok]
     few = np.flatnonzero((words > 0) & (words < k))
     if len(few):
         with np.errstate(over="ignore"):
-            weight = mix((np.arange(n) - t.first[t.doc]).astype(U64))
+            weight = mix((np.arange(len(t.hash)) - np.repeat(t.first[:-1], words)).astype(U64))
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(t.hash * weight, dtype=U64)])
             short = mix(sums[t.first[few + 1]] - sums[t.first[few]])
-        doc, value = np.concatenate([doc, few]), np.concatenate([value, short])
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    at = np.flatnonzero(new)
-    copy = np.arange(len(doc)) - np.repeat(at, np.diff(np.append(at, len(doc))))
+        doc, value = np.concatenate([doc, few.astype(np.int32)]), np.concatenate([value, short])
+    if docs == 1:
+        value = np.sort(value)
+    else:
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])[: len(doc)])) if len(doc) else np.zeros(0, np.int64)
+    return doc[at], value[at], np.diff(np.append(at, len(doc)))
+
+
+def shingle_units(t: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(document, 64-bit unit): the j-th copy of a shingle in a document is unit (shingle, j), so that units are sets."""
+    doc, value, times = shingle_counts(t, k)
+    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc, value = np.repeat(doc, times), np.repeat(value, times)
     with np.errstate(over="ignore"):
         value = np.where(copy > 0, mix(value + copy.astype(U64) * U64(0xA0761D6478BD642F)), value)
-    return doc, value
+    order = np.argsort(value, kind="stable") if len(t.first) == 2 else np.lexsort((value, doc))
+    return doc[order], value[order]
 
 
 _LOW, _HIGH = -7, 9  # the first cell is [0, 2**_LOW); cells from 2**_HIGH on are 2**_HIGH wide
@@ -86,59 +99,72 @@ def _cells_below(rank: np.ndarray) -> np.ndarray:
     return np.where(rank <= 2.0**_HIGH, low, np.ceil(rank / 2.0**_HIGH) + _HIGH - _LOW).astype(np.int64)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=512)
 def _poisson_table(mean: float) -> np.ndarray:
     """Cumulative probabilities of a Poisson count."""
-    p, out, total = np.exp(-mean), [], 0.0
-    for j in range(int(mean + 12 * mean**0.5 + 20)):
-        total += p
-        out.append(total)
-        p *= mean / (j + 1)
-    return np.asarray(out)
+    j = np.arange(int(mean + 12 * mean**0.5 + 20))
+    log_p = j * np.log(mean) - mean - np.cumsum(np.log(np.maximum(j, 1)))
+    return np.cumsum(np.exp(log_p))
 
 
-def dart_signatures(doc: np.ndarray, value: np.ndarray, docs: int, k: int = K) -> np.ndarray:
-    """Signatures (docs x k, uint64) of documents given by their sorted units; rows of documents without units are 0."""
+def dart_signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, docs: int, k: int = K, chunk: int = 1 << 20) -> np.ndarray:
+    """Signatures (docs x k, uint64) of documents given by elements and their weights (any above 0), grouped by document.
+
+    An element's region is ``weight`` wide.  It is laid out in columns [0, 1), [1, 2), [2, 4), [4, 8) and so on, the same
+    in every document; of a column that the region only partly fills, the darts within it count.  Rows of
+    documents without elements are 0.
+    """
     best = np.full(docs * k, np.inf)
     out = np.zeros(docs * k, U64)
-    weight = np.bincount(doc, minlength=docs)
+    total = np.bincount(doc, weight, minlength=docs)
     darts = k * (np.log(k) + 3)
     done = np.zeros(docs, np.int64)  # cells already looked at
-    bound = np.where(weight > 0, darts / np.maximum(weight, 1), 0)
+    bound = np.where(total > 0, darts / np.maximum(total, 1e-9), 0)
+    widest = int(np.ceil(np.log2(max(weight.max(initial=0), 1)))) + 1
     while True:
         want = np.where(bound > 0, _cells_below(bound), 0)
         for c in range(int(done[want > done].min(initial=1 << 30)), int(want.max(initial=0))):
             mine = (want > c) & (done <= c)
-            at = np.flatnonzero(mine[doc])
-            if not len(at):
-                continue
             lo, hi = _cell(c)
-            with np.errstate(over="ignore"):
-                seed = mix(value[at] ^ (U64(c + 1) * U64(0x8EBC6AF09C88C6E3)))
-            n = np.searchsorted(_poisson_table(hi - lo), unit(seed))
-            hit = np.flatnonzero(n)
-            reps = n[hit]
-            seed, d = np.repeat(seed[hit], reps), np.repeat(doc[at[hit]], reps)
-            j = np.arange(len(seed)) - np.repeat(np.cumsum(reps) - reps, reps)
-            with np.errstate(over="ignore"):
-                dart = mix(seed + (j + 1).astype(U64) * U64(0xE7037ED1A0B428DB))
-                rank = lo + (hi - lo) * unit(mix(dart ^ U64(0x589965CC75374CC3)))
-            slot = d * k + (mix(dart ^ U64(0x1D8E4E27C47D124F)) % U64(k)).astype(np.int64)
-            order = np.lexsort((rank, slot))
-            slot, rank, dart = slot[order], rank[order], dart[order]
-            first = np.ones(len(slot), bool)
-            first[1:] = slot[1:] != slot[:-1]
-            slot, rank, dart = slot[first], rank[first], dart[first]
-            better = rank < best[slot]
-            best[slot[better]], out[slot[better]] = rank[better], dart[better]
+            for at in range(0, len(doc), chunk):
+                some = slice(at, at + chunk)
+                for column in range(widest):
+                    left, width = (0.0, 1.0) if not column else (2.0 ** (column - 1), 2.0 ** (column - 1))
+                    here = at + np.flatnonzero(mine[doc[some]] & (weight[some] > left))
+                    if len(here):
+                        _throw(doc, value, weight, here, c, lo, hi, column, left, width, k, best, out)
         done = np.maximum(done, want)
         # darts beyond the bound were thrown by whole cells; a coordinate is settled if its dart lies within full cells
-        empty = np.isinf(best.reshape(docs, k)).any(axis=1) & (weight > 0)
+        empty = np.isinf(best.reshape(docs, k)).any(axis=1) & (total > 0)
         if not empty.any():
             return out.reshape(docs, k)
         bound = np.where(empty, bound * 2, 0)
 
 
+def _throw(doc, value, weight, at, c, lo, hi, column, left, width, k, best, out) -> None:
+    """Darts of the elements ``at`` on a cell of ranks and a column of weights; the earliest of each coordinate stay."""
+    with np.errstate(over="ignore"):
+        seed = mix(value[at] ^ (U64(c + 1) * U64(0x8EBC6AF09C88C6E3)) ^ (U64(column) * U64(0xD1B54A32D192ED03)))
+    n = np.searchsorted(_poisson_table((hi - lo) * width), unit(seed))
+    hit = np.flatnonzero(n)
+    reps = n[hit]
+    seed, at = np.repeat(seed[hit], reps), np.repeat(at[hit], reps)
+    j = np.arange(len(seed)) - np.repeat(np.cumsum(reps) - reps, reps)
+    with np.errstate(over="ignore"):
+        dart = mix(seed + (j + 1).astype(U64) * U64(0xE7037ED1A0B428DB))
+        inside = left + width * unit(mix(dart ^ U64(0x2545F4914F6CDD1D))) < weight[at]
+        dart, at = dart[inside], at[inside]
+        rank = lo + (hi - lo) * unit(mix(dart ^ U64(0x589965CC75374CC3)))
+    slot = doc[at].astype(np.int64) * k + (mix(dart ^ U64(0x1D8E4E27C47D124F)) % U64(k)).astype(np.int64)
+    order = np.lexsort((rank, slot))
+    slot, rank, dart = slot[order], rank[order], dart[order]
+    first = np.ones(len(slot), bool)
+    first[1:] = slot[1:] != slot[:-1]
+    slot, rank, dart = slot[first], rank[first], dart[first]
+    better = rank < best[slot]
+    best[slot[better]], out[slot[better]] = rank[better], dart[better]
+
+
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band of ``rows`` coordinates."""
     docs, k = sig.shape
@@ -155,13 +181,24 @@ def _lowered(texts: pa.Array) -> pa.Array:
 
 def _blocks(texts: pa.Array):
     raw, offsets = string_buffers(_lowered(texts))
-    for lo, hi in text_blocks(offsets, 1 << 19):
-        yield lo, hi, Tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
+    for lo, hi in text_blocks(offsets, PIECE):
+        yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
 
 
 # ---------------------------------------------------------------- components
 
 
+def _followed(df: DataFrame, column: str, up: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``column`` replaced by the root that ``up`` has for it.
+
+    A job of its own from one written table to the next: a root that very many rows name is then a skewed join
+    that Spark splits.
+    """
+    to = up.select(F.col("id").alias(column), F.col("root").alias("__to"))
+    out = df.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+    return materialize(out.select(*df.columns), name)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, root) of every end of ``edges`` (a, b): the least id of its connected component.
 
@@ -170,33 +207,19 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """
     both = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live = materialize(both, name)
-    # the first label: the least neighbour
     label = None
     while not live.isEmpty():
         near = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # the first label: the least neighbour
         least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root"))
         # jump: follow the pointers of this round twice
-        up = least.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        up = least = materialize(least, name)
         for _ in range(2):
-            least = least.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-        least = materialize(least, name)
-        if label is None:
-            label = least
-        else:
-            step = least.select(F.col("id").alias("root"), F.col("root").alias("to"))
-            label = materialize(
-                label.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")), name
-            )
-        a = least.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-        b = least.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        live = materialize(
-            live.join(a, "a")
-            .join(b, "b")
-            .where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .distinct(),
-            name,
-        )
+            least = _followed(least, "root", up, name)
+        label = least if label is None else _followed(label, "root", least, name)
+        live = _followed(_followed(live, "a", least, name), "b", least, name)
+        live = live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        live = materialize(live, name)
     if label is None:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
     return label
@@ -254,8 +277,15 @@ def _roots(n: int, pairs) -> np.ndarray:
     return np.asarray([find(i) for i in range(n)])
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, page: int = 500) -> DataFrame:
-    """(__id, __key, class_id, rep): class of every distinct row; ``rep`` stands for the row's copies."""
+def near_classes(
+    docs: DataFrame, threshold: float = 0.8, family: int = 1000, page: int = 500, family_units: int = 1 << 21
+) -> DataFrame:
+    """rid, __id, __none, __key, root, class_id, first: the class of every row.
+
+    ``root`` is the class's number, ``first`` the ``rid`` of its first row, ``class_id`` that row's id (null if none has one).
+
+    Families of up to ``family`` documents and ``family_units`` shingles are verified whole by one task each.
+    """
     prepare(docs.sparkSession)
     base = keyed(docs)
 
@@ -264,46 +294,47 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, pa
             for lo, hi, t in _blocks(b.column("text")):
                 n = hi - lo
                 with np.errstate(over="ignore"):
-                    place = mix((np.arange(len(t.start)) - t.first[t.doc]).astype(U64) + U64(77))
+                    place = mix((np.arange(len(t.hash)) - np.repeat(t.first[:-1], np.diff(t.first))).astype(U64) + U64(77))
                     sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(t.hash ^ place), dtype=U64)])
                     more = np.concatenate([np.zeros(1, U64), np.cumsum(mix(t.hash + place), dtype=U64)])
                     w1, w2 = sums[t.first[1:]] - sums[t.first[:-1]], more[t.first[1:]] - more[t.first[:-1]]
-                doc, value = shingle_units(t, n)
-                keys = band_keys(dart_signatures(doc, value, n))
-                weight = np.bincount(doc, minlength=n)
-                keys = [k.view(np.int64) if w else k.view(np.int64)[:0] for k, w in zip(keys, weight, strict=True)]
+                doc, value, times = shingle_counts(t)
+                keys = band_keys(dart_signatures(doc, value, times.astype(np.float64), n))
+                some = np.bincount(doc, minlength=n)
+                keys = [k.view(np.int64) if w else k.view(np.int64)[:0] for k, w in zip(keys, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("__id").slice(lo, n),
+                        b.column("__none").slice(lo, n),
                         b.column("__key").slice(lo, n),
                         pa.array(w1.view(np.int64)),
                         pa.array(w2.view(np.int64)),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["__id", "__key", "w1", "w2", "bands"],
+                    names=["__id", "__none", "__key", "w1", "w2", "bands"],
                 )
 
     signed = materialize(
-        base.mapInArrow(sign, "__id long, __key long, w1 long, w2 long, bands array<long>").withColumn(
+        base.mapInArrow(sign, "__id long, __none boolean, __key long, w1 long, w2 long, bands array<long>").withColumn(
             "rid", F.monotonically_increasing_id()
         ),
         "signed",
     )
     # copies: rows of one word sequence are stood for by the first of them
     reps = materialize(
-        signed.groupBy("w1", "w2").agg(F.min(F.struct("__id", "__key", "rid")).alias("rep")).select("w1", "w2", "rep.*"), "reps"
+        signed.groupBy("w1", "w2").agg(F.min(F.struct("__id", "__none", "__key", "rid")).alias("rep")).select("w1", "w2", "rep.*"), "reps"
     )
     bands = signed.join(reps.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
     stars = bands.groupBy("band").agg(F.min("rid").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     edges = bands.join(stars, "band").select("a", F.col("rid").alias("b"))
     families = components(edges, "families")
     families = materialize(families.select(F.col("id").alias("rid"), F.col("root").alias("family")), "families")
-    members = reps.join(families, "rid").select("rid", "__id", "__key", "family")
+    members = reps.join(families, "rid").select("rid", "__id", "__none", "__key", "family")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in _blocks(b.column("text")):
-                doc, value = shingle_units(t, hi - lo)
+                doc, value = shingle_units(t)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
                 value = value.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -316,15 +347,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, pa
                 )
 
     units = materialize(
-        base.join(members, ["__id", "__key"])
+        base.join(members, ["__id", "__none", "__key"])
         .dropDuplicates(["rid"])
         .select("rid", "family", "text")
         .mapInArrow(shingle, "rid long, family long, units binary"),
         "units",
         "none",
     )
-    size = units.groupBy("family").agg(F.count("*").alias("n"))
-    large = materialize(size.where(F.col("n") > family), "large")
+    size = units.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.octet_length("units") / 8).alias("u"))
+    large = materialize(size.where((F.col("n") > family) | (F.col("u") > family_units)).select("family"), "large")
 
     def within(part):
         part = part.sort_values("rid")
@@ -335,7 +366,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, pa
     small_links = units.join(large, "family", "left_anti").groupBy("family").applyInPandas(within, "a long, b long")
     links = small_links.where("a <> b")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(units.join(large, "family"), threshold, page))
+        links = links.unionByName(_large_links(units.join(large, "family"), threshold, page, family_units))
     roots = components(materialize(links, "links"), "classes")
     # names: the least id among all rows of the class
     named = reps.join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left").withColumn(
@@ -343,12 +374,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, family: int = 1000, pa
     )
     # written, so that the joins' hot classes can be split
     named = materialize(named, "named")
-    names = materialize(named.groupBy("root").agg(F.min("__id").alias("class_id")), "names")
-    named = named.join(names, "root").select("w1", "w2", "class_id", F.col("rid").alias("rep"))
-    return signed.select("__id", "__key", "w1", "w2").join(named, ["w1", "w2"]).drop("w1", "w2")
+    least = F.min(F.struct("__id", "__none", "__key", "rid")).alias("least")
+    names = materialize(named.groupBy("root").agg(least), "names")
+    named = named.join(names, "root").select(
+        "w1", "w2", "root", F.when(~F.col("least.__none"), F.col("least.__id")).alias("class_id"), F.col("least.rid").alias("first")
+    )
+    return signed.select("rid", "__id", "__none", "__key", "w1", "w2").join(named, ["w1", "w2"]).drop("w1", "w2")
 
 
-def _large_links(units: DataFrame, threshold: float, page: int) -> DataFrame:
+def _large_links(units: DataFrame, threshold: float, page: int, page_units: int) -> DataFrame:
     """Links of families too large for one task.
 
     Every member is compared with the family's pivot.  Members linked to it are one class already; x and y can
@@ -380,14 +414,16 @@ def _large_links(units: DataFrame, threshold: float, page: int) -> DataFrame:
     )
     links = measured.where(F.col("far") <= far + 1e-9).select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
     open_ = measured.where(F.col("far") > far + 1e-9)
-    counts = {r["family"]: r["n"] for r in open_.groupBy("family").agg(F.count("*").alias("n")).where("n > 0").limit(10_000).collect()}
-    if not counts:
+    if open_.isEmpty():
         return links
     # rings as wide as the reach: x in ring r meets rings r-1, r, r+1; each ring is dealt over pages
     ring = F.floor(F.col("far") / far).cast("int")
     sized = measured.withColumn("ring", ring)
-    pages = sized.groupBy("family", "ring").agg(F.ceil(F.count("*") / page).cast("int").alias("pages"))
-    sized = sized.join(F.broadcast(pages), ["family", "ring"]).withColumn(
+    pages = sized.groupBy("family", "ring").agg(
+        F.ceil(F.greatest(F.count("*") / page, F.least(F.count("*"), F.sum(F.octet_length("units")) / (8 * page_units)))).cast("int").alias("pages")
+    )
+    pages = materialize(pages, "rings")
+    sized = sized.join(pages, ["family", "ring"]).withColumn(
         "page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int")
     )
     # block pairs (two pages of one ring, or of neighbouring rings); ring 0 with itself holds linked members only
@@ -426,25 +462,24 @@ def _parts(df: DataFrame) -> int:
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row for each row of ``docs``: its id, class, class size, and whether it stays (the class's first row)."""
+    """One row for each row of ``docs``: its id, class, class size, and whether it stays (one row of a class does)."""
     classes = materialize(near_classes(docs, **how), "near")
-    size = materialize(classes.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
-    return classes.join(size, "class_id").select(
-        F.when(F.col("__id") < MAX_ID, F.col("__id")).alias("doc_id"),
-        F.when(F.col("class_id") < MAX_ID, F.col("class_id")).alias("class_id"),
+    size = materialize(classes.groupBy("root").agg(F.count("*").alias("class_size")), "sizes")
+    return classes.join(size, "root").select(
+        F.when(~F.col("__none"), F.col("__id")).alias("doc_id"),
+        "class_id",
         "class_size",
-        (F.col("__id") == F.col("class_id")).alias("kept"),
+        (F.col("rid") == F.col("first")).alias("kept"),
     )
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id."""
-    classes = near_classes(docs, **how)
-    stay = materialize(
-        classes.where("__id = class_id").groupBy("class_id").agg(F.min(F.struct("__id", "__key")).alias("s")).select("s.*"), "stay"
-    )
-    out = with_key(docs).join(stay, ["__id", "__key"], "left_semi")
-    repeated = classes.groupBy("__id", "__key").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(["__id", "__key"])
-    return out.select(*docs.columns)
+    inner, back = wrapped(docs)
+    classes = near_classes(inner, **how)
+    row = ["__id", "__none", "__key"]
+    stay = materialize(classes.where("rid = first").select(*row), "stay")
+    out = with_key(inner).join(stay, row, "left_semi")
+    if not classes.groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(row)
+    return back(out)

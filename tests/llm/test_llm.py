@@ -135,7 +135,7 @@ def test_signatures_estimate_similarity():
     a = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
     b = np.sort(np.concatenate([a[:300], rng.integers(0, 1 << 62, 100).astype(np.uint64)]))
     doc = np.repeat([0, 1], [len(a), len(b)])
-    sig = near.dart_signatures(doc, np.concatenate([a, b]), 2, 2000)
+    sig = near.dart_signatures(doc, np.concatenate([a, b]), np.ones(len(doc)), 2, 2000)
     assert (sig[0] == sig[1]).mean() == pytest.approx(300 / 500, abs=0.05)
 
 
