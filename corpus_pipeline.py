@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climext.llm import exact, near, packing, quality, substring
-from climext.llm.common import materialize
+from climext.llm.common import materialize, wrapped
 from climext.llm.queries import table, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier calls good (score of 0.5 or more); it learns from the tables in ``sf_dir``."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "__quality").where(F.col("__quality") >= 0.5).select(*docs.columns)
+    inner, back = wrapped(docs)
+    return back(quality.score(inner, model, "__quality").where(F.col("__quality") >= 0.5))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    return exact.exact_dedup(docs)
+    inner, back = wrapped(docs)
+    return back(exact.exact_dedup(inner))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +34,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; texts that lose nothing stay as they are, emptied ones go."""
-    cut = substring.cut_repeats(docs)
+    inner, back = wrapped(docs)
+    cut = substring.cut_repeats(inner)
+    n = F.when(F.col("n_removed") > 0, F.char_length("kept_text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    changed = cut.where("n_removed = 0 or n_removed < n_words").withColumns({"text": text, "__n": n})
     if "n_chars" in docs.columns:
-        n = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        changed = changed.withColumn("n_chars", F.coalesce(n, F.col("n_chars")))
-    return changed.select(*docs.columns)
+        chars = F.coalesce(F.col("__n").cast(docs.schema["n_chars"].dataType), F.col("__rest.n_chars"))
+        changed = changed.withColumn("__rest", F.col("__rest").withField("n_chars", chars))
+    return back(changed)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
