@@ -191,7 +191,56 @@ def gamma_p(a: Column, x: Column) -> Column:
     return _gamma_p(a.cast("double"), x.cast("double"))
 
 
+# Rational approximations of the error function and its complement (Cody 1969).
+_ERF = (
+    (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1),
+    (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03),
+)
+_ERFC = (
+    (5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02,
+     1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8),
+    (1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+     4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03),
+)
+_ERFC_FAR = (
+    (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4,
+     1.63153871373020978e-2),
+    (2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _cody(of, t):
+    """The quotient of two polynomials, both with their last given term's power leading."""
+    above, below = of
+    top, bottom = t * above[-1], t
+    for a, b in zip(above[:-2], below[:-1], strict=True):
+        top, bottom = (top + a) * t, (bottom + b) * t
+    return (top + above[-2]) / (bottom + below[-1])
+
+
 def norm_cdf(z: Column) -> Column:
-    """Normal probability through P(1/2, z^2/2)."""
-    half = gamma_p(F.lit(0.5), z * z / 2) / 2
-    return F.when(z < 0, 0.5 - half).otherwise(0.5 + half)
+    """Normal probability, to 1e-15; ``z`` should be a plain column, as it is used many times."""
+    x = z / math.sqrt(2)
+    y = F.abs(x)
+    t = F.try_divide(F.lit(1.0), y * y)
+    far = F.try_divide(1 / math.sqrt(math.pi) - t * _cody(_ERFC_FAR, t), y)
+    tail = F.exp(-y * y) * F.when(y <= 4, _cody(_ERFC, y)).otherwise(far) / 2
+    return F.when(y <= 0.46875, 0.5 + x * _cody(_ERF, y * y) / 2).when(z < 0, tail).otherwise(1 - tail)
+
+
+def norm_cdf_sql(z: str) -> str:
+    """The same probability as SQL text."""
+    x = f"({z}/{math.sqrt(2)!r})"
+
+    def cody(of, t):
+        above, below = of
+        top, bottom = f"({t}*{above[-1]!r})", t
+        for a, b in zip(above[:-2], below[:-1], strict=True):
+            top, bottom = f"(({top}+{a!r})*{t})", f"(({bottom}+{b!r})*{t})"
+        return f"(({top}+{above[-2]!r})/({bottom}+{below[-1]!r}))"
+
+    y = f"abs({x})"
+    t = f"(1/({y}*{y}))"
+    far = f"(({1 / math.sqrt(math.pi)!r}-{t}*{cody(_ERFC_FAR, t)})/{y})"
+    tail = f"(exp(-{y}*{y})*CASE WHEN {y}<=4 THEN {cody(_ERFC, y)} ELSE {far} END/2)"
+    return f"CASE WHEN {y}<=0.46875 THEN 0.5+{x}*{cody(_ERF, f'({y}*{y})')}/2 WHEN {z}<0 THEN {tail} ELSE 1-{tail} END"

@@ -97,6 +97,23 @@ def gamma_params(
     return thom_gamma(rows, [*keys, "period"], F.col(value), in_calibration(time, start, end))
 
 
+def with_zero_share(
+    params: DataFrame,
+    df: DataFrame,
+    value: str = "scaled",
+    time: str = "time",
+    start: int | None = CALIBRATION_START,
+    end: int | None = CALIBRATION_END,
+    periodicity: Periodicity = Periodicity.monthly,
+    keys: Sequence[str] = ("cell_id",),
+) -> DataFrame:
+    """Given alpha and beta (keys, period, ...), the same with the share of zeros in the calibration years as ``prob_zero``."""
+    x = F.when(in_calibration(time, start, end), F.col(value))
+    rows = df.select(*keys, period_of(F.col(time), periodicity).alias("period"), x.alias("__x"))
+    share = rows.groupBy(*keys, "period").agg(F.try_divide(F.count_if(F.col("__x") == 0), F.count("__x")).alias("prob_zero"))
+    return params.drop("prob_zero").join(share, [*keys, "period"], "left")
+
+
 def gamma_probability(v: Column, alpha: Column, beta: Column, prob_zero: Column) -> Column:
     """Probability of a scaled amount under fitted gamma parameters, zeros mixed in."""
     ok = (alpha > 0) & (beta > 0)
@@ -130,9 +147,22 @@ def standardized_index(
     out = out.withColumn(period, period_of(F.col(time), periodicity))
     calibrated = in_calibration(time, start, end)
     results, drop = {}, [period, *(f"__s{s}" for s in scales)]
+    likelihood = family != "gamma" and fit.DEFAULT_METHOD[family] is fit.Method.MLE
+    names = (*fit.PARAMS[family], "prob_zero")
+    table = params
+    if params is None and likelihood:  # all scales in one fit
+        table = fit_index_params(df, value, scales, family, periodicity, start, end, time, cell)
+    if table is not None:  # one row for each cell and period, so that all scales take one join
+        table = table.groupBy(cell, F.col("period").alias(period)).agg(
+            *(F.max(F.when(F.col("scale_steps") == s, F.col(n))).alias(f"__{n}_{s}") for s in scales for n in names)
+        )
+        out = out.join(table, [cell, period], "left")
     for s in scales:
         v, made = F.col(f"__s{s}"), {}
-        if params is None and family == "gamma":
+        if table is not None:
+            made = {n: F.col(f"__{n}_{s}") for n in names}
+            drop += [f"__{n}_{s}" for n in names]
+        elif family == "gamma":
             w = Window.partitionBy(cell, period)
             # the log-mean difference first: the estimator uses it many times
             parts = thom_parts(v, calibrated, lambda c, w=w: c.over(w))
@@ -140,17 +170,9 @@ def standardized_index(
             made = thom_of({n: F.col(f"__{n}_{s}") for n in _PARTS})
             drop += [f"__{n}_{s}" for n in _PARTS]
         else:
-            table = params
-            if table is None:
-                cal = out.where(calibrated).select(cell, period, v.alias("__v"))
-                table = fit.fit(cal, [cell, period], "__v", family)
-            else:
-                table = table.where(F.col("scale_steps") == s).withColumnRenamed("period", period)
-            names = (*fit.PARAMS[family], "prob_zero")
-            table = table.select(cell, period, *(F.col(n).alias(f"__{n}_{s}") for n in names))
-            out = out.join(table, [cell, period], "left")
-            made = {n: F.col(f"__{n}_{s}") for n in names}
-            drop += [f"__{n}_{s}" for n in names]
+            out = fit.with_params(out, [cell, period], F.when(calibrated, v), [family], prefix=f"__{s}_")
+            made = {n: F.col(f"__{s}_{family}_{n}") for n in names}
+            drop += [f"__{s}_n", *(f"__{s}_{family}_{n}" for n in names)]
         held = {f"__p_{n}_{s}": c for n, c in made.items()}
         out = out.withColumns(held)
         drop += [k for k in held if not keep_params]

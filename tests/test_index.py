@@ -114,7 +114,7 @@ def test_toolkit_guards(spark):
     d = fit.diagnose(from_series(spark, [None, 1.0]), ["cell_id"], "value").first()
     assert d.n_total == 2 and d.n_valid == 1 and not d.is_suitable_for_gamma and len(d.warnings) == 4
     none = fit.diagnose(from_series(spark, [None, None]), ["cell_id"], "value").first()
-    assert none.warnings == ["No valid data points"] and none.zero_proportion == 1.0
+    assert none.warnings == ["no_values"] and none.zero_proportion == 1.0
 
 
 def test_selection_prefers_a_fitting_family(spark, rain):
@@ -160,3 +160,19 @@ def test_names_and_planning(spark):
     table = [tuple(r) for r in tile_table(spark, 1100, 700).orderBy("tile").collect()]
     assert table == [tuple(t) for t in tiles(1100, 700)]
     assert len(climext.__all__) > 40
+
+
+def test_generic_families_take_no_join(spark):
+    """All scales are fitted in the rows' own partition: no join, one exchange of the data."""
+    import numpy as np
+
+    from climext import spi
+
+    rng = np.random.default_rng(1)
+    rows = [(c, f"{1980 + t // 12}-{1 + t % 12:02d}-01", float(v)) for c in range(2) for t, v in enumerate(rng.gamma(2.0, 30.0, 480))]
+    df = spark.createDataFrame(rows, "cell_id long, time string, value double").selectExpr("cell_id", "cast(time as date) as time", "value").repartition(3)
+    out = spi(df, [1, 3, 6], distribution="gev", start=1981, end=2015)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = out.where("year(time) > 1981").agg({"spi_gev_3_month": "count", "spi_gev_6_month": "avg"}).first()
+    assert got[0] == 2 * 12 * 38 and abs(got[1]) < 0.3

@@ -42,15 +42,16 @@ def test_failures_are_diagnosed_on_whole_samples(spark, tmp_path):
     rng = np.random.default_rng(5)
     some = [*rng.gamma(3.0, 20.0, 20), *[None] * 64]
     d = _ship(tmp_path, {1: list(rng.gamma(3.0, 20.0, 84)), 2: [7.0] * 84, 3: some, 4: [0.0] * 84, 5: [None] * 84})
-    said = {r["cell_id"]: r["reason"] for r in QUERIES["dst17_diagnose_failure"](spark, d).collect()}
-    why = "Fitting failed for gev: "
-    assert said == {
-        1: "Fitting succeeded - no failure to diagnose.",
-        2: why + "near-constant data (var=0.00e+00)",
-        3: why + "insufficient data (20 < 30)",
-        4: why + "excessive zeros (100.0%), too few positive values (0), near-constant data (var=0.00e+00)",
-        5: why + "insufficient data (0 < 30), excessive zeros (100.0%), too few positive values (0)",
+    rows = QUERIES["dst17_diagnose_failure"](spark, d).collect()
+    assert len(rows) == 5 * 8
+    assert {r["cell_id"]: r["reason"] for r in rows if r["year"] is None} == {
+        1: "fitted",
+        2: "gev not fitted: variance<1e-08",
+        3: "gev not fitted: values=20<30",
+        4: "gev not fitted: zero_share>0.95, positive=0<10, variance<1e-08",
+        5: "gev not fitted: values=0<30, zero_share>0.95, positive=0<10",
     }
+    assert {r["reason"] for r in rows if r["year"] and r["cell_id"] == 1} == {"gev not fitted: values=12<30"}
 
 
 def test_other_reasons_of_failure(spark):
@@ -58,10 +59,36 @@ def test_other_reasons_of_failure(spark):
     diagnosis = fit.diagnose(spark.createDataFrame(rows, "cell_id long, value double"), ["cell_id"], "value")
     none = spark.createDataFrame([(1, None), (2, None)], "cell_id long, alpha double")
     said = {r["cell_id"]: r["reason"] for r in fit.diagnose_failure(diagnosis, none, ["cell_id"], "gamma").collect()}
-    assert said == {
-        1: "Fitting failed for gamma: numerical issues during parameter estimation",
-        2: "Fitting failed for gamma: negative values present (4)",
-    }
+    assert said == {1: "gamma not fitted: estimation", 2: "gamma not fitted: negative=4"}
+
+
+def test_one_pass_of_all_families_equals_family_by_family(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, float(v)) for c in range(4) for v in rng.gamma(2.0 + c, 20.0, 60)] + [(9, 1.0), (9, None), (0, float("nan")), (1, 0.0)]
+    df = spark.createDataFrame(rows, "cell_id long, value double")
+    both = {(r["cell_id"], r["distribution"]): r for r in fit.compare(df, ["cell_id"], "value").collect()}
+    assert len(both) == 5 * 5
+    for family, names in fit.PARAMS.items():
+        p = fit.fit(df, ["cell_id"], "value", family, "lmoments")
+        good = {r["cell_id"]: r for r in fit.goodness_of_fit(df, p, ["cell_id"], "value", family).collect()}
+        for r in p.collect():
+            one = both[r["cell_id"], family]
+            for n in names:
+                assert one["params"][n] == (None if r[n] is None else pytest.approx(r[n], rel=1e-12))
+            for n in ("ks_statistic", "ks_pvalue", "ad_statistic", "aic", "bic"):
+                want = good[r["cell_id"]][n]
+                assert one[n] == (None if want is None else pytest.approx(want, rel=1e-9, abs=1e-12))
+
+
+def test_ks_pvalue_by_enumeration():
+    """Against the share of samples of three uniform values, cell by cell, and between the two exact forms."""
+    grid = (np.arange(60) + 0.5) / 60
+    x = np.sort(np.stack(np.meshgrid(grid, grid, grid, indexing="ij"), -1).reshape(-1, 3), axis=1)
+    i = np.arange(1, 4) / 3
+    d = np.maximum(i - x, x - (i - 1 / 3)).max(axis=1)
+    for at in (0.3, 0.45, 0.55, 0.7):
+        assert fit.np_ks_pvalue(at, 3) == pytest.approx((d >= at).mean(), abs=0.02)
+    assert fit.np_ks_pvalue(np.sqrt(4.999 / 84), 84) == pytest.approx(fit.np_ks_pvalue(np.sqrt(5.001 / 84), 84), rel=0.01)
 
 
 def _skew(x: np.ndarray) -> float:

@@ -49,3 +49,15 @@ def test_likelihood_recovers_parameters():
     x = 10 - 3 * np.log(-np.log(rng.random(4000)))
     k, loc, scale = fit.np_nelder_mead(lambda p: fit._gev_loss(x, p), np.array([0.05, 9.0, 2.0]))
     assert (k, loc, scale) == (pytest.approx(0, abs=0.06), pytest.approx(10, abs=0.3), pytest.approx(3, abs=0.2))
+
+
+def test_norm_cdf(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from climext.functions.special import norm_cdf
+
+    z = [i / 7 for i in range(-70, 71)]
+    for x, p in zip(z, [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").coalesce(1).select(norm_cdf(F.col("z"))).collect()], strict=True):
+        assert abs(p / (0.5 * math.erfc(-x / math.sqrt(2))) - 1) < 1e-13
