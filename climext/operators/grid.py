@@ -71,14 +71,17 @@ def has_valid(df: DataFrame, value: str = "value", keys: Sequence[str] = ("cell_
     return df.groupBy(*keys).agg((F.count(value) > 0).alias("is_valid"))
 
 
-def densify(df: DataFrame, start: str, end: str, value: str = "value", fill: float | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """A row for every cell and month from ``start`` to ``end``; window frames count rows, so none may lack.
+def densify(
+    df: DataFrame, start: str, end: str, value: str = "value", fill: float | None = None, cells: DataFrame | None = None, periodicity: Periodicity = Periodicity.monthly
+) -> DataFrame:
+    """A row for every cell and month (or day) from ``start`` to ``end``; window frames count rows, so none may lack.
 
-    The months are made cell by cell (``explode(sequence)``), so no cross join is needed.
+    The steps are made cell by cell (``explode(sequence)``), so no cross join is needed.
     """
     cells = (df if cells is None else cells).select("cell_id").distinct()
-    months = F.explode(F.expr(f"sequence(DATE'{start}', DATE'{end}', INTERVAL 1 MONTH)"))
-    full = cells.select("cell_id", months.alias("time"))
+    step = "MONTH" if periodicity is Periodicity.monthly else "DAY"
+    steps = F.explode(F.expr(f"sequence(DATE'{start}', DATE'{end}', INTERVAL 1 {step})"))
+    full = cells.select("cell_id", steps.alias("time"))
     out = full.join(df.withColumn("time", F.col("time").cast("date")), ["cell_id", "time"], "left")
     return out if fill is None else out.withColumn(value, F.coalesce(value, F.lit(fill)))
 

@@ -1,7 +1,7 @@
 """Potential evapotranspiration from temperature: Thornthwaite and Hargreaves.
 
-Day length and radiation of each month depend on latitude and leap year only; they are expressions over the days
-of the month, so the data needs no join, and Catalyst computes them in the scan's stage.
+Day length and radiation of each month depend on latitude and leap year only: they are made once for each distinct
+latitude (24 rows each) and joined to the data.
 """
 
 from __future__ import annotations
@@ -12,14 +12,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOLAR_CONSTANT = 0.0820
-_NOT_FOUND = "latitude must be between -90 and 90"
+_POLE = math.pi / 2
+
+
+def _within(value: Column, low: float, high: float, what: str, result: Column) -> Column:
+    """``result``; an error where ``value`` is out of range, null where it is null."""
+    wrong = F.raise_error(F.concat(F.lit(f"{what} must be in [{low:g}, {high:g}], got "), value.cast("string")))
+    return F.when(value.between(low, high), result).when(value.isNotNull(), wrong.cast("double"))
 
 
 def solar_declination(day: Column) -> Column:
-    return 0.409 * F.sin(day * (2 * math.pi / 365) - 1.39)
+    """Radians; days of the year other than 1 to 366 are an error."""
+    return _within(day, 1, 366, "day of the year", 0.409 * F.sin(day * (2 * math.pi / 365) - 1.39))
 
 
 def sunset_hour_angle(lat_rad: Column, declination: Column) -> Column:
+    """Radians; latitudes beyond the poles are an error."""
+    return _within(lat_rad, -_POLE, _POLE, "latitude in radians", _hour_angle(lat_rad, declination))
+
+
+def _hour_angle(lat_rad: Column, declination: Column) -> Column:
     c = -F.tan(lat_rad) * F.tan(declination)
     return F.acos(F.when(c < -1, -1.0).when(c > 1, 1.0).otherwise(c))
 
@@ -41,7 +53,8 @@ def _table(spark, latitudes: DataFrame, of) -> DataFrame:
     """(lat, leap, month, mean) over the days of each month, for each distinct latitude."""
     leap = F.explode(F.array(F.lit(False), F.lit(True)))
     year = F.when(F.col("leap"), 2000).otherwise(2001)
-    days = latitudes.select("lat").distinct().select("lat", leap.alias("leap"))
+    # latitudes beyond the poles have no days, so their rows get null
+    days = latitudes.where(F.abs("lat") <= 90).select("lat").distinct().select("lat", leap.alias("leap"))
     days = days.withColumn(
         "date", F.explode(F.sequence(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))))
     )

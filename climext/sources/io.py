@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PARAMS, PET_PATTERNS, PRECIP_PATTERNS, Distribution, Periodicity
+from ..config import CALIBRATION_END, CALIBRATION_START, METADATA, PARAMS, PET_PATTERNS, PRECIP_PATTERNS, Distribution, Periodicity
 from ..naming import variable_name
 from ..operators.grid import find_variable, missing_to_null, normalize_columns
 from ..operators.index import fit_index_params, spei, spi
@@ -40,24 +40,51 @@ def save_index(df: DataFrame, path: str, columns: Sequence[str], as_float: bool
     return path
 
 
-def save_params(params: DataFrame, path: str, index: str = "spi", periodicity: Periodicity = Periodicity.monthly) -> str:
-    """Write a params table, one folder for each index, family and scale; saving one again replaces only it."""
+def save_params(
+    params: DataFrame,
+    path: str,
+    index: str = "spi",
+    periodicity: Periodicity = Periodicity.monthly,
+    years: tuple[int, int] | None = None,
+    attributes: dict[str, str] | None = None,
+) -> str:
+    """Write a params table, one folder for each index, family and scale; saving one again replaces only it.
+
+    ``years``: first and last calibration year; ``attributes``: anything else to keep (METADATA's entries are added).
+    """
     if not {"period", "scale_steps", "distribution"} <= {*params.columns}:
         raise ValueError(f"not a params table: {params.columns}")
+    kept = {k: v for k, v in METADATA.items() if v} | {k: str(v) for k, v in (attributes or {}).items()}
+    said = F.create_map(*(F.lit(x) for pair in sorted(kept.items()) for x in pair))
+    first, last = years or (None, None)
     (
-        params.withColumns({"index": F.lit(index), "periodicity": F.lit(periodicity.name), "family": F.col("distribution"), "steps": F.col("scale_steps")})
+        params.withColumns(
+            {
+                "calibration_start": F.lit(first).cast("int"), "calibration_end": F.lit(last).cast("int"), "attributes": said,
+                "index": F.lit(index), "periodicity": F.lit(periodicity.name), "family": F.col("distribution"), "steps": F.col("scale_steps"),
+            }
+        )
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("index", "periodicity", "family", "steps")
         .parquet(path)
-    )
+    )
     return path
 
 
-def load_params(spark: SparkSession, path: str, scale: int, periodicity: Periodicity = Periodicity.monthly, distribution: str | None = None, index: str = "spi") -> DataFrame:
+def load_params(
+    spark: SparkSession,
+    path: str,
+    scale: int,
+    periodicity: Periodicity = Periodicity.monthly,
+    distribution: str | None = None,
+    index: str = "spi",
+    years: tuple[int, int] | None = None,
+) -> DataFrame:
     """The saved table of one scale (partition pruning reads no other).
 
-    The family is taken from the table if not given.  FileNotFoundError, KeyError as the names say.
+    The family is taken from the table if not given.  FileNotFoundError, KeyError as the names say; ValueError if the
+    table was calibrated on other ``years``.
     """
     try:
         df = spark.read.parquet(path)
@@ -71,15 +98,25 @@ def load_params(spark: SparkSession, path: str, scale: int, periodicity: Periodi
     df = df.where(F.col("family") == family)
     if df.isEmpty():
         raise KeyError(f"no {family} parameters of scale {scale} in {path}")
+    if years is not None:
+        saved = [(r[0], r[1]) for r in df.select("calibration_start", "calibration_end").distinct().limit(2).collect()]
+        if saved != [tuple(years)]:
+            raise ValueError(f"calibrated on {saved}, not {years}")
     return df.select("cell_id", "period", "scale_steps", "distribution", *PARAMS[family], "prob_zero")
 
 
+def calibration_of(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each saved table: index, periodicity, family, steps, calibration years, attributes."""
+    keys = ["index", "periodicity", "family", "steps", "calibration_start", "calibration_end"]
+    return spark.read.parquet(path).groupBy(*keys).agg(F.any_value("attributes").alias("attributes"))
+
+
 def spi_path(spark: SparkSession, source: str, target: str, scale: int = 12, distribution: str = "gamma", params_path: str | None = None, variable: str | None = None, progress=None, **how) -> DataFrame:
     """Path to path: partitions stand for tiles.  ``progress(stage, percent)`` is called as stages end."""
     df = read_grid(spark, source, None, variable)
     params = None
     if params_path is not None:
-        save_params(fit_index_params(df.withColumn("value", F.when(F.col("value") < 0, 0.0).otherwise(F.col("value"))), "value", [scale], distribution, **how), params_path, "spi", how.get("periodicity", Periodicity.monthly))
+        save_params(fit_index_params(df.withColumn("value", F.when(F.col("value") < 0, 0.0).otherwise(F.col("value"))), "value", [scale], distribution, **how), params_path, "spi", how.get("periodicity", Periodicity.monthly), (how.get("start", CALIBRATION_START), how.get("end", CALIBRATION_END)))
         params = load_params(spark, params_path, scale, how.get("periodicity", Periodicity.monthly), distribution)
         if progress:
             progress("params", 50.0)
