@@ -15,8 +15,10 @@ equal to their weighted Jaccard similarity.
 
 Candidates share all ``rows`` coordinates of one of the bands.  They are joined by stars (every member with its
 bucket's least), so a bucket of n documents sends n links, never n^2.  Connected families of up to
-``family`` documents are verified whole in one task each; in larger ones every member is verified
-against a pivot, and only members that the triangle inequality leaves open are compared, block with block.
+``family`` documents are verified whole in one task each.  In larger ones members are verified against pivots, rounds of
+which merge what hangs together; only members of classes that stay apart, and that the triangle inequality leaves open,
+are compared block with block.  A large family of classes that are near but never linked still costs about the square of
+their members.
 
 Definitions for unusual input: null counts as empty; texts without a word form one class; a null doc_id sorts
 last; copies (equal word sequences) meet before anything else, so a copied text counts once; an empty table
@@ -278,7 +280,7 @@ def _roots(n: int, pairs) -> np.ndarray:
 
 
 def near_classes(
-    docs: DataFrame, threshold: float = 0.8, family: int = 1000, page: int = 500, family_units: int = 1 << 21
+    docs: DataFrame, threshold: float = 0.8, family: int = 256, page: int = 128, family_units: int = 1 << 21
 ) -> DataFrame:
     """rid, __id, __none, __key, root, class_id, first: the class of every row.
 
@@ -364,9 +366,10 @@ def near_classes(
         return pd.DataFrame({"a": rid[roots], "b": rid})
 
     small_links = units.join(large, "family", "left_anti").groupBy("family").applyInPandas(within, "a long, b long")
-    links = small_links.where("a <> b")
+    links = materialize(small_links.where("a <> b"), "links")
     if not large.isEmpty():
-        links = links.unionByName(_large_links(units.join(large, "family"), threshold, page, family_units))
+        inside = materialize(units.join(large, "family"), "large", "none")
+        links = links.unionByName(_large_links(inside, threshold, page, family_units))
     roots = components(materialize(links, "links"), "classes")
     # names: the least id among all rows of the class
     named = reps.join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left").withColumn(
@@ -382,64 +385,114 @@ def near_classes(
     return signed.select("rid", "__id", "__none", "__key", "w1", "w2").join(named, ["w1", "w2"]).drop("w1", "w2")
 
 
-def _large_links(units: DataFrame, threshold: float, page: int, page_units: int) -> DataFrame:
-    """Links of families too large for one task.
+def _distances(members: DataFrame, pivots: DataFrame, page: int, page_units: int) -> DataFrame:
+    """(rid, cls, pivot, pivot_cls, far): distances of members (rid, family, cls, units) to their family's pivots.
 
-    Every member is compared with the family's pivot.  Members linked to it are one class already; x and y can
-    be linked only if their distances to the pivot differ by 1-threshold at most, so a member that is not
-    linked to the pivot meets only those, page with page, never in one task or as rows of pairs.
+    A family's members are dealt over tasks of up to ``page`` of them; each gets a copy of the family's pivots.
     """
-    far = 1 - threshold
-    pivot = units.groupBy("family").agg(F.min(F.struct("rid", "units")).alias("p")).select(
-        "family", F.col("p.rid").alias("pivot"), F.col("p.units").alias("pivot_units")
+    n, u = F.count("*"), F.sum(F.octet_length("units")) / (8 * page_units)
+    deals = members.groupBy("family").agg(F.ceil(F.greatest(n / page, F.least(n, u))).cast("int").alias("deals"))
+    deals = materialize(deals, "deals")
+    dealt = members.join(deals, "family").withColumn("deal", F.pmod(F.xxhash64("rid"), F.col("deals")).cast("int"))
+    copies = pivots.join(deals, "family").select(
+        F.col("family").alias("of"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("to"), "pivot", "pivot_cls", "pivot_units"
     )
-    pivot = materialize(pivot, "pivots", "none")
 
-    def distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for u, p in zip(b["units"], b["pivot_units"], strict=True):
-                x, y = np.frombuffer(u, np.int64), np.frombuffer(p, np.int64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(1 - common / max(1, len(x) + len(y) - common))
-            yield pd.DataFrame({"rid": b["rid"], "family": b["family"], "pivot": b["pivot"], "far": out, "units": b["units"]})
-
-    dealt = units.repartition(_parts(units), "rid").join(F.broadcast(pivot) if pivot.count() <= 64 else pivot, "family")
-    measured = materialize(
-        dealt.select("rid", "family", "pivot", "units", "pivot_units").mapInPandas(
-            distance, "rid long, family long, pivot long, far double, units binary"
-        ),
-        "measured",
-        "none",
+    def run(part, pivots):
+        units = [np.frombuffer(u, np.int64) for u in part["units"]]
+        out = []
+        for pivot, cls, p in zip(pivots["pivot"], pivots["pivot_cls"], pivots["pivot_units"], strict=True):
+            y = np.frombuffer(p, np.int64)
+            common = np.asarray([np.isin(x, y, assume_unique=True).sum() for x in units], np.float64)
+            total = np.asarray([len(x) for x in units], np.float64) + len(y) - common
+            out.append(pd.DataFrame({"rid": part["rid"], "cls": part["cls"], "pivot": pivot, "pivot_cls": cls, "far": 1 - common / np.maximum(total, 1)}))
+        return pd.concat(out) if out else pd.DataFrame({"rid": [], "cls": [], "pivot": [], "pivot_cls": [], "far": []})
+
+    return (
+        dealt.select("family", "deal", "rid", "cls", "units")
+        .groupBy("family", "deal")
+        .cogroup(copies.groupBy("of", "to"))
+        .applyInPandas(run, "rid long, cls long, pivot long, pivot_cls long, far double")
     )
-    links = measured.where(F.col("far") <= far + 1e-9).select(F.col("pivot").alias("a"), F.col("rid").alias("b"))
-    open_ = measured.where(F.col("far") > far + 1e-9)
-    if open_.isEmpty():
+
+
+def _large_links(units: DataFrame, threshold: float, page: int, page_units: int, rounds: int = 4, pivots: int = 8) -> DataFrame:
+    """Links of families too large for one task.
+
+    1. Every member is compared with the family's first pivot; those linked to it are one class.
+    2. For some rounds, members are compared with a member of ``pivots`` large classes of the family, and classes
+       that a link joins become one.  A round costs a few comparisons a member, and a family that hangs together
+       soon is one class, which needs no more.
+    3. Members of different classes that are left are compared page with page: x and y can be linked only if their distances to
+       the first pivot differ by 1 - threshold at most, so pages are of rings around it, and only neighbouring rings meet.
+       Within a family's largest class nothing is compared.
+    """
+    reach = 1 - threshold + 1e-9
+    members = units.withColumn("cls", F.col("rid"))
+    first = units.groupBy("family").agg(F.min(F.struct("rid", "units")).alias("p")).select(
+        "family", F.col("p.rid").alias("pivot"), F.col("p.rid").alias("pivot_cls"), F.col("p.units").alias("pivot_units")
+    )
+    measured = materialize(_distances(members, materialize(first, "pivots", "none"), page, page_units), "measured")
+    links = materialize(measured.where(F.col("far") <= reach).select(F.col("pivot").alias("a"), F.col("rid").alias("b")), "pivot-links")
+    if measured.where(F.col("far") > reach).isEmpty():
         return links
-    # rings as wide as the reach: x in ring r meets rings r-1, r, r+1; each ring is dealt over pages
-    ring = F.floor(F.col("far") / far).cast("int")
-    sized = measured.withColumn("ring", ring)
-    pages = sized.groupBy("family", "ring").agg(
-        F.ceil(F.greatest(F.count("*") / page, F.least(F.count("*"), F.sum(F.octet_length("units")) / (8 * page_units)))).cast("int").alias("pages")
+    cls = units.select("rid", "family").join(
+        measured.select("rid", "far", F.when(F.col("far") <= reach, F.col("pivot")).otherwise(F.col("rid")).alias("cls")), "rid"
     )
-    pages = materialize(pages, "rings")
-    sized = sized.join(pages, ["family", "ring"]).withColumn(
+    cls = materialize(cls, "open")
+    for turn in range(rounds):
+        size = materialize(cls.groupBy("family", "cls").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")), "sizes")
+        open_ = size.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family")
+        if open_.isEmpty():
+            break
+        # the largest class of each of so many parts, which differ from round to round
+        part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(pivots)).alias("part")
+        largest = size.join(open_, "family").groupBy("family", part).agg(F.max(F.struct("n", "cls", "pivot")).alias("c"))
+        chosen = largest.select("family", "c.cls", "c.pivot").join(units.select(F.col("rid").alias("pivot"), F.col("units").alias("pivot_units")), "pivot")
+        chosen = materialize(chosen.select("family", "pivot", F.col("cls").alias("pivot_cls"), "pivot_units"), "pivots", "none")
+        some = units.join(cls.select("rid", "cls"), "rid").join(open_, "family", "left_semi")
+        near = _distances(some, chosen, page, page_units).where((F.col("far") <= reach) & (F.col("cls") != F.col("pivot_cls")))
+        near = materialize(near.select(F.col("pivot_cls").alias("a"), F.col("cls").alias("b")).distinct(), "pivot-links")
+        if near.isEmpty():
+            break
+        links = links.unionByName(near)
+        cls = _followed(cls, "cls", components(near, "merged"), "open")
+    return links.unionByName(_between_classes(units, cls, threshold, page, page_units))
+
+
+def _between_classes(units: DataFrame, cls: DataFrame, threshold: float, page: int, page_units: int) -> DataFrame:
+    """Links between members of different classes, by blocks of two pages of rings around the family's first pivot."""
+    size = cls.groupBy("family", "cls").agg(F.count("*").alias("n"))
+    main = size.groupBy("family").agg(F.max(F.struct("n", "cls")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    main = materialize(main.select("family", F.col("m.cls").alias("main")), "main")
+    # rings as wide as the reach (and a bit, for rounding), ring 0 those linked to the pivot: x in ring r meets rings r-1, r, r+1; each ring is dealt over pages
+    wide = 1 - threshold + 1e-6
+    ring = F.when(F.col("far") <= 1 - threshold + 1e-9, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("far") / wide)))
+    sized = units.join(cls.select("rid", "cls", "far"), "rid").join(main, "family").select(
+        "family", "rid", "units", ring.cast("int").alias("ring"),
+        F.when(F.col("cls") == F.col("main"), 0).otherwise(1).alias("part"),
+    )
+    sized = materialize(sized, "rings", "none")
+    n, u = F.count("*"), F.sum(F.octet_length("units")) / (8 * page_units)
+    pages = sized.groupBy("family", "ring", "part").agg(F.ceil(F.greatest(n / page, F.least(n, u))).cast("int").alias("pages"))
+    pages = materialize(pages, "pages")
+    sized = sized.join(pages, ["family", "ring", "part"]).withColumn(
         "page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int")
     )
-    # block pairs (two pages of one ring, or of neighbouring rings); ring 0 with itself holds linked members only
-    left = pages.select("family", F.col("ring").alias("r1"), F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("p1"))
-    right = pages.select("family", F.col("ring").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("p2"))
+    each = F.explode(F.sequence(F.lit(0), F.col("pages") - 1))
+    left = pages.select("family", F.col("ring").alias("r1"), F.col("part").alias("t1"), each.alias("p1"))
+    right = pages.select("family", F.col("ring").alias("r2"), F.col("part").alias("t2"), each.alias("p2"))
+    # the largest class with itself and ring 0 with itself (all linked to the pivot) have no open pairs
     blocks = (
         left.join(right, "family")
-        .where("r2 >= 1 and ((r1 = r2 and p1 <= p2) or r1 = r2 - 1)")
-        .withColumn("block", F.xxhash64("family", "r1", "p1", "r2", "p2"))
+        .where("t1 + t2 > 0 and r2 >= 1 and (r1 = r2 - 1 or (r1 = r2 and (t1 < t2 or (t1 = t2 and p1 <= p2))))")
+        .withColumn("block", F.xxhash64("family", "r1", "t1", "p1", "r2", "t2", "p2"))
     )
     blocks = materialize(blocks, "blocks")
-    a = sized.join(blocks.withColumnsRenamed({"r1": "ring", "p1": "page"}), ["family", "ring", "page"]).select(
-        "block", "rid", "units", F.lit(0).alias("side")
-    )
+    on = ["family", "ring", "part", "page"]
+    a = sized.join(blocks.withColumnsRenamed({"r1": "ring", "t1": "part", "p1": "page"}), on).select("block", "rid", "units", F.lit(0).alias("side"))
     b = sized.join(
-        blocks.where("r1 <> r2 or p1 <> p2").withColumnsRenamed({"r2": "ring", "p2": "page"}), ["family", "ring", "page"]
+        blocks.where("r1 <> r2 or t1 <> t2 or p1 <> p2").withColumnsRenamed({"r2": "ring", "t2": "part", "p2": "page"}), on
     ).select("block", "rid", "units", F.lit(1).alias("side"))
 
     def compare(part):
@@ -453,12 +506,7 @@ def _large_links(units: DataFrame, threshold: float, page: int, page_units: int)
         roots = _roots(len(u), pairs)
         return pd.DataFrame({"a": rid[roots], "b": rid})
 
-    more = a.unionByName(b).groupBy("block").applyInPandas(compare, "a long, b long").where("a <> b")
-    return links.unionByName(more)
-
-
-def _parts(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return a.unionByName(b).groupBy("block").applyInPandas(compare, "a long, b long").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:

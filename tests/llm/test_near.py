@@ -65,3 +65,28 @@ def test_least_and_missing_ids(spark):
     assert got == [(-1, -1, 3, False), (-1, -1, 3, False), (-1, -1, 3, True), (-1, top, 2, False), (3, 3, 2, False), (3, 3, 2, True), (top, top, 2, True)]
     stay = near.near_dedup(df)
     assert stay.columns == df.columns and stay.count() == 3 and stay.where("`__id` = 7 and `__key` = 7").count() == 3
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_a_large_family_keeps_every_link(spark, rounds, monkeypatch):
+    """Chains, a dense group and loners in one family, by pivots and by pages, against all pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # a chain: neighbours are near, the ends are not
+        rows.append((i, " ".join(base[i : i + 60] + [f"c{j}" for j in range(40)])))
+    for i in range(40):  # a dense group
+        words = base[:100].copy()
+        words[int(rng.integers(0, 100))] = f"z{i}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[:30] + [f"q{i}_{j}" for j in range(25)])) for i in range(10)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    roots = near._roots(len(rows), ((i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))
+    want = {(rows[i][0], rows[r][0]) for i, r in enumerate(roots.tolist())}
+    units = near.near_classes.__globals__["_large_links"]
+    monkeypatch.setattr(near, "_large_links", lambda *a: units(*a, rounds=rounds, pivots=2))
+    # all in one family, whatever the bands say
+    monkeypatch.setattr(near, "band_keys", lambda sig: np.zeros((len(sig), 1), np.uint64))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.class_id) for r in near.near_duplicates(df, family=10, page=16).collect()}
+    assert got == want
