@@ -41,10 +41,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local mode) a local one is made.
+    Only where the session names none and runs in one process (tests) a local one is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark.sparkContext, "_climext_dir", None)
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="climext-")
@@ -52,14 +54,46 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Folders that this application has written and not yet deleted, in order."""
+    if not hasattr(spark.sparkContext, "_climext_written"):
+        spark.sparkContext._climext_written = []
+    return spark.sparkContext._climext_written
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The folder goes when the application ends, or with :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/climext-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written(spark).append(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bookmark(spark: SparkSession) -> int:
+    return len(_written(spark))
+
+
+def discard(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the folders written since a bookmark, but the last ``but``; nothing that is yet to be read may need them."""
+    paths = _written(spark)
+    gone = paths[since : len(paths) - but]
+    for path in gone:
+        folder, files = _folder(spark, path)
+        files.delete(folder, True)
+    paths[since : len(paths) - but] = []
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(__id, __none, __key, text): never-null id (null sorts last), whether it is null, hash of the text, text without null.
 
@@ -118,11 +152,6 @@ def plain(frames: pa.Array) -> pa.Array:
     return pa.array([unzip.decompress(x) for x in frames.to_pylist()], pa.binary()).cast(pa.string())
 
 
-def spread(df: DataFrame, rows_each: int = 4000) -> int:
-    """A partition count for ``df.count()`` rows; at least the session's shuffle partitions."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_each))
-
-
 # ---------------------------------------------------------------- vectorised text
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
@@ -181,14 +181,15 @@ def pack_certified(
     partition_bins: int = 4096,
     partition_pieces: int = 200_000,
     slack: float = 0.02,
-    rounds: int = 4,
+    rounds: int | None = None,
 ) -> DataFrame:
     """Pack all documents into few sequences of ``capacity`` ids.
 
     Pieces are dealt evenly over partitions of about ``partition_bins`` sequences.  Each partition is
     packed by best-fit decreasing and certified by its dual-feasible lower bound.  Partitions whose count
     exceeds the (unrounded) bound by more than ``slack`` hand in the documents of their emptiest sequences;
-    these are pooled over all partitions, dealt anew and packed again, as long as that saves sequences.
+    these are pooled over all partitions, dealt anew and packed again, as long as that saves sequences (or
+    ``rounds`` times).
     ``partition_bins`` and ``partition_bound`` are those of a partition without what it handed in.
 
     A task holds one partition's lengths only; texts and ids are never gathered.
@@ -206,9 +207,9 @@ def pack_certified(
 
     placed, parts, n = deal(pieces, 0)
     settled, base = [], parts
-    for _ in range(rounds):
-        if parts < 2:
-            break
+    turn = 0
+    while parts > 1 and turn != rounds:
+        turn += 1
         # the emptiest sequences of each partition that its bound doesn't certify: the gap, and one more
         open_bins = placed.where(F.col("bins") > F.col("bound") + slack).select("pid", "bin", "fill", "bins", "bound").distinct()
         gap = F.floor(F.col("bins") - F.col("bound")) + 1
@@ -293,8 +294,9 @@ def packed_matrices(
                 tokens += e - s
                 lo = hi
                 if tokens >= window_tokens:
-                    yield from _matrix_rows(held, capacity, pad_id, shard, row)
-                    row += _matrix_rows.made
+                    for made in _matrix_rows(held, capacity, pad_id, shard, row):
+                        yield made
+                        row += made.num_rows
                     held, tokens = [], 0
         if held:
             yield from _matrix_rows(held, capacity, pad_id, shard, row)
@@ -314,7 +316,6 @@ def _matrix_rows(held: list, capacity: int, pad_id: int, shard: int, row: int) -
                 lengths.append(min(capacity, hi - s))
             lo = hi
     where, offset, bins = best_fit_decreasing(np.asarray(lengths, np.int64), capacity)
-    _matrix_rows.made = bins
     order = np.lexsort((offset, where))
     cuts = np.searchsorted(where[order], np.arange(bins + 1))
     for first in range(0, bins, 256):
@@ -349,12 +350,13 @@ def _matrix_rows(held: list, capacity: int, pad_id: int, shard: int, row: int) -
         )
 
 
-_matrix_rows.made = 0
+def write_packed(packed: DataFrame, path: str) -> None:
+    """Write the matrices as Parquet files, one for each shard (or more); ``shard`` and ``row`` are columns of theirs."""
+    packed.write.option("compression", "zstd").parquet(path)
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Write the matrices as Parquet files, one or more for each shard."""
-    packed.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def read_row(ids: bytes, cu_seqlens: list[int]) -> list[np.ndarray]:

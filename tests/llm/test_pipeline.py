@@ -43,3 +43,13 @@ def test_packing_of_odd_rows(spark, odd):
     got = corpus_pipeline.packing_stage(spark, odd, SF).collect()
     assert len(got) >= odd.count()
     assert sum(r.piece == 0 for r in got) == odd.count()
+
+
+def test_a_run_leaves_only_what_its_result_needs(spark):
+    from climext.llm.common import _written
+
+    before = set(_written(spark))
+    out = corpus_pipeline.run(spark, SF)
+    left = [p for p in _written(spark) if p not in before]
+    assert sum("stage-" in p for p in left) == 1 and not any("signed" in p or "groups" in p for p in left)
+    assert out.count() > 0
