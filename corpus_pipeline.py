@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from climext.llm import exact, near, packing, quality, substring
-from climext.llm.common import materialize, wrapped
+from climext.llm.common import bookmark, discard, materialize, wrapped
 from climext.llm.queries import table, vocabulary
 
 
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage leaves in the shared folder goes once its rows are written."""
+    docs, begun = table(spark, sf_dir, "documents"), bookmark(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{name.replace(' ', '-')}")
+            discard(spark, begun, but=1)
     return docs
