@@ -818,3 +818,99 @@ def cal4(spark, d):
 )
 def mem4(spark, d):
     return planning.tile_table(spark, 2160, 4320)
+
+
+# ---------------------------------------------------------------- adapters, naming, plot data
+
+_CLASSES = "(VALUES " + ", ".join(f"({i}, {top if top < 99 else 99.0}, '{name}', '{shade}')" for i, (top, name, shade) in enumerate(classify.ELEVEN)) + ") AS k(i, top, name, shade)"
+
+
+@query("flt7_has_valid", f"WITH {M} SELECT cell_id, count(value) > 0 AS is_valid FROM m GROUP BY 1")
+def flt7(spark, d):
+    return grid.has_valid(views.monthly(spark, d))
+
+
+@query("flt6_below_threshold", f"WITH {Z} SELECT cell_id, time, {_r(value='value')} FROM z WHERE value < -1 AND year(time) BETWEEN 1996 AND 1999")
+def flt6(spark, d):
+    return views.scores(spark, d).where((F.col("value") < -1) & index.in_calibration("time", 1996, 1999))
+
+
+@query("prj1_not_negative", f"WITH {Z} SELECT cell_id, time, {_r(amount='CASE WHEN value < 0 THEN 0 ELSE value END')} FROM z")
+def prj1(spark, d):
+    return views.scores(spark, d).select("cell_id", "time", index.not_negative(F.col("value")).alias("amount"))
+
+
+@query(
+    "src3_missing_values",
+    "SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber % 3 = 1 AND l_discount = 0.05 THEN NULL "
+    "ELSE CAST(round(l_quantity, 6) AS DOUBLE) END AS value FROM lineitem",
+)
+def src3(spark, d):
+    v = F.when(F.col("l_linenumber") % 3 == 0, float("nan")).when((F.col("l_linenumber") % 3 == 1) & (F.col("l_discount") == 0.05), -9999.0)
+    rows = views.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), v.otherwise(F.col("l_quantity")).alias("value"))
+    return grid.missing_to_null(rows, "value")
+
+
+@query("cal5_densify_daily", f"WITH {D} SELECT cell_id, time, {_r(value='value')} FROM dd")
+def cal5(spark, d):
+    o = views.table(spark, d, "orders").where("o_orderdate is not null")
+    counts = o.groupBy((F.col("o_custkey") % 5).alias("cell_id"), F.col("o_orderdate").cast("date").alias("time")).agg(F.count("*").cast("double").alias("value"))
+    first, last = o.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    return grid.densify(counts, f"{first}-01-01", f"{last}-12-31", "value", 0.0, periodicity=Periodicity.daily)
+
+
+@query(
+    "srt3_driest_cells",
+    f"WITH {Z}, i AS ({_islands('z', 'value < -0.5')}), {_BY_CELL.format(k='cell_id')}, g AS (SELECT cell_id, {_COUNTED}, max(mg) FILTER (ok) AS mg FROM e GROUP BY 1) "
+    f"SELECT cell_id, num_events, {_r(max_magnitude='mg')} FROM g ORDER BY num_events DESC, cell_id LIMIT 10",
+)
+def srt3(spark, d):
+    """A report of the ten cells with most events."""
+    cells = runs.spatial_events(views.scores(spark, d), -0.5, 2)
+    return cells.select("cell_id", "num_events", "max_magnitude").orderBy(F.desc("num_events"), "cell_id").limit(10)
+
+
+@query(
+    "vis1_index_bars",
+    f"WITH {Z}, c AS (SELECT z.*, (SELECT min(i) FROM {_CLASSES} WHERE z.value <= top) AS n FROM z WHERE value IS NOT NULL) "
+    f"SELECT cell_id, time, {_r(value='value')}, k.name AS class, k.shade AS colour FROM c JOIN {_CLASSES} ON k.i = c.n",
+)
+def vis1(spark, d):
+    return frames.index_bars(views.scores(spark, d))
+
+
+@query(
+    "vis2_event_spans",
+    f"WITH {Z}, i AS ({_islands('z', 'value < -0.5')}), r AS ({_run_rows(-0.5)}), v AS (SELECT {_EVENT_COLS}, row_number() OVER w AS event_id "
+    "FROM r WHERE duration >= 2 WINDOW w AS (PARTITION BY cell_id ORDER BY start_idx)) "
+    "SELECT cell_id, CAST(event_id AS INT) AS event_id, start_date, end_date, peak_date, peak FROM v",
+)
+def vis2(spark, d):
+    return frames.event_spans(views.scores(spark, d), -0.5, 2)
+
+
+@query(
+    "vis3_event_metric",
+    f"WITH {Z}, i AS ({_islands('z', 'value < -0.5')}), r AS ({_run_rows(-0.5)}) SELECT cell_id, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY start_idx) AS INT) AS event_id, "
+    f"start_date, {_r(value='CAST(duration AS DOUBLE)', mean='avg(duration) OVER (PARTITION BY cell_id)')} FROM r",
+)
+def vis3(spark, d):
+    return frames.event_metric(runs.identify_events(views.scores(spark, d), -0.5), "duration")
+
+
+@query(
+    "vis5_map",
+    f"WITH {M}, c AS (SELECT cell_id, any_value(lat) AS lat, avg(value) AS v FROM m GROUP BY 1) SELECT {_r(lat='lat', lon='cell_id % 360', value='v')} FROM c",
+)
+def vis5(spark, d):
+    df = views.monthly(spark, d)
+    cells = df.groupBy("cell_id").agg(F.any_value("lat").alias("lat")).withColumn("lon", (F.col("cell_id") % 360).cast("double"))
+    return frames.map_of(df.groupBy("cell_id").agg(F.avg("value").alias("mean")), cells, "mean")
+
+
+@query(
+    "pet3_hargreaves_by_name",
+    ORACLES["pet2_hargreaves"],
+)
+def pet3(spark, d):
+    return pet.potential_evapotranspiration(views.monthly(spark, d), "tmean", "lat", "hargreaves", "tmin", "tmax").select("cell_id", "time", "pet")
