@@ -474,14 +474,49 @@ for _name in _FIT:
     _fits(_name)
 
 
-def _mle(name: str, family: str) -> None:
-    @query(name)
+def _logistic_sql(keys: str) -> str:
+    """CTEs y, it, ll: log-logistic alpha and beta of the samples of v by Newton's method on (location, log scale)."""
+    z = "((u - mu) / exp(ls))"
+    t = f"((exp({z}) - 1) / (exp({z}) + 1))"
+    d = f"((1 - {t} * {t}) / 2)"
+    total = lambda e: f"list_sum(list_transform(ys, lambda u: {e}))"
+    return f"""y AS (SELECT {keys}, list(ln(x) ORDER BY x) AS ys, avg(ln(x)) AS mu, ln(stddev_pop(ln(x)) * sqrt(3) / pi()) AS ls, count(*) AS pn
+      FROM v WHERE x > 0 GROUP BY {keys} HAVING count(*) >= 30),
+    it AS (SELECT *, 0 AS turn FROM y UNION ALL SELECT {keys}, ys, mu - (hss * gm - hms * gs) / (hmm * hss - hms * hms), ls - (hmm * gs - hms * gm) / (hmm * hss - hms * hms),
+      pn, turn + 1 FROM (SELECT *, -{total(t)} / exp(ls) AS gm, {total(f'(1 - {z} * {t})')} AS gs, {total(d)} / exp(2 * ls) AS hmm,
+      {total(f'({t} + {z} * {d})')} / exp(ls) AS hms, {total(f'({z} * {t} + {z} * {z} * {d})')} AS hss FROM it WHERE turn < 40)),
+    ll AS (SELECT {keys}, exp(-ls) AS alpha, exp(mu) AS beta FROM it WHERE turn = 40)"""
+
+
+def _digamma_sql(x: str, slope: bool = False) -> str:
+    """digamma (or its derivative): shifted by ten, then the asymptotic series."""
+    z = f"({x} + 10)"
+    if slope:
+        near = f"(1/{z} + 1/(2*{z}*{z}) + 1/(6*{z}**3) - 1/(30*{z}**5) + 1/(42*{z}**7) - 1/(30*{z}**9))"
+        return f"({near} + {' + '.join(f'1/(({x}+{i})*({x}+{i}))' for i in range(10))})"
+    near = f"(ln({z}) - 1/(2*{z}) - 1/(12*{z}**2) + 1/(120*{z}**4) - 1/(252*{z}**6) + 1/(240*{z}**8))"
+    return f"({near} - {' - '.join(f'1/({x}+{i})' for i in range(10))})"
+
+
+_GAMMA_MLE = f"""WITH RECURSIVE {ST}, g0 AS (SELECT cell_id, avg(x) AS mean, ln(avg(x)) - avg(ln(x)) AS a FROM v WHERE x > 0 GROUP BY 1),
+  it AS (SELECT *, (3 - a + sqrt((a - 3) ** 2 + 24 * a)) / (12 * a) AS k, 0 AS turn FROM g0 UNION ALL
+    SELECT cell_id, mean, a, k - (ln(k) - {_digamma_sql('k')} - a) / (1 / k - {_digamma_sql('k', True)}), turn + 1 FROM it WHERE turn < 12)
+  SELECT st.cell_id, {_r(alpha='least(1000, k)', beta='mean / least(1000, k)', prob_zero='q')}, n AS n_samples FROM st JOIN it ON it.cell_id = st.cell_id AND turn = 12"""
+_LOGISTIC_MLE = f"""WITH RECURSIVE {ST}, {_logistic_sql('cell_id')}
+  SELECT st.cell_id, {_r(alpha='alpha', beta='beta', prob_zero='q')}, n AS n_samples FROM st LEFT JOIN ll ON ll.cell_id = st.cell_id"""
+
+
+def _mle(name: str, family: str, sql: str | None = None) -> None:
+    @query(name, sql)
     def run(spark, d):
         return fit.fit(_pool(spark, d), _K, "value", family, "mle").drop("distribution", "fitting_method")
 
 
-for _name, _family in (("dst1c_gamma_mle", "gamma"), ("dst3c_pearson3_mle", "pearson3"), ("dst5a_log_logistic_mle", "log_logistic"), ("dst7b_gev_mle", "gev")):
-    _mle(_name, _family)
+# the likelihoods of Pearson III and GEV are searched by a simplex, which is not SQL
+_mle("dst1c_gamma_mle", "gamma", _GAMMA_MLE)
+_mle("dst3c_pearson3_mle", "pearson3")
+_mle("dst5a_log_logistic_mle", "log_logistic", _LOGISTIC_MLE)
+_mle("dst7b_gev_mle", "gev")
 
 _NORM = norm_cdf_sql("((x - loc) / scale)")
 _P3A = "(4 / greatest(skew * skew, 1e-4))"  # below, the normal distribution
@@ -659,14 +694,17 @@ def idx8(spark, d):
     return standardize(fit.with_cdf(df, p, _K, "value", "pearson3"), {"z": F.col("cdf")}).select("cell_id", "time", "z")
 
 
-def _generic_sql(index_name: str, value: str, family: str, of: str, cdf: str, scales: tuple[int, ...]) -> str:
-    """An index of a family other than gamma: fits by cell and calendar month, scale by scale."""
+def _generic_sql(index_name: str, value: str, family: str, of: str | None, cdf: str, scales: tuple[int, ...]) -> str:
+    """An index of a family other than gamma: fits (``of``; none: by likelihood) by cell and calendar month, scale by scale."""
     base = f"{LM}, t AS (SELECT cell_id, time, month(time) AS period, {', '.join(f'v{s}' for s in scales)} FROM ({_rolled('(SELECT *, ' + value + ' AS amount FROM m)', 'amount', *scales)}))"
-    cols, out, join = _FIT[of][2], [], ""
+    out, join = [], ""
     for s in scales:
-        fitted = ", ".join(f"{sql} AS {n}" for n, sql in cols.items())
+        fitted = ", ".join(f"{sql} AS {n}" for n, sql in _FIT[of][2].items()) if of else ""
         inner = f"v AS (SELECT cell_id, period, v{s} AS x FROM t WHERE v{s} IS NOT NULL AND year(time) BETWEEN 1961 AND 1995), {_sample_sql('cell_id, period')}{_FT}"
-        base += f""", h{s} AS (WITH {inner}, f AS (SELECT cell_id, period, n, {fitted} FROM ft WHERE n >= 30)
+        f = f"f AS (SELECT cell_id, period, n, {fitted} FROM ft WHERE n >= 30)"
+        if not of:
+            f = f"{_logistic_sql('cell_id, period')}, f AS (SELECT st.cell_id, st.period, n, alpha, beta, q AS prob_zero FROM st JOIN ll ON ll.cell_id = st.cell_id AND ll.period = st.period)"
+        base += f""", h{s} AS (WITH RECURSIVE {inner}, {f}
         SELECT cell_id, time, CASE WHEN c IS NOT NULL THEN greatest(1e-10, least(1 - 1e-10, c)) END AS h FROM (
           SELECT t.cell_id, t.time, CASE WHEN x IS NOT NULL AND n IS NOT NULL THEN {_CDF[cdf][1]} END AS c
           FROM (SELECT t.cell_id, t.time, t.period, t.v{s} AS x FROM t) t LEFT JOIN f ON f.cell_id = t.cell_id AND f.period = t.period))"""
@@ -675,9 +713,9 @@ def _generic_sql(index_name: str, value: str, family: str, of: str, cdf: str, sc
     return f"WITH {base} SELECT t.cell_id, t.time, {', '.join(out)} FROM t{join}"
 
 
-def _generic(name: str, index_name: str, family: str, of: str | None, cdf: str | None, scales: tuple[int, ...]) -> None:
+def _generic(name: str, index_name: str, family: str, of: str | None, cdf: str, scales: tuple[int, ...]) -> None:
     value = "value" if index_name == "spi" else "value - pet + 1000"
-    sql = _generic_sql(index_name, value, family, of, cdf, scales) if of else None
+    sql = _generic_sql(index_name, value, family, of, cdf, scales)
 
     @query(name, sql, 4)
     def run(spark, d):
@@ -692,7 +730,7 @@ _generic("idx8_spi_gev", "spi", "gev", "dst7a_gev_lmoments", "dst8_gev_cdf", (3,
 _generic("idx8_spi_gen_logistic", "spi", "gen_logistic", "dst9a_gen_logistic_lmoments", "dst10_gen_logistic_cdf", (3,))
 _generic("idx8_spei_pearson3", "spei", "pearson3", "dst3a_pearson3_moments", "dst4_pearson3_cdf", (6,))
 _generic("idx8_spei_gev", "spei", "gev", "dst7a_gev_lmoments", "dst8_gev_cdf", (3, 6))
-_generic("idx8_spi_log_logistic", "spi", "log_logistic", None, None, (3, 6))
+_generic("idx8_spi_log_logistic", "spi", "log_logistic", None, "dst6_log_logistic_cdf", (3, 6))
 
 
 @query(
