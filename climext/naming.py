@@ -1,4 +1,4 @@
-"""Names and descriptive attributes of outputs."""
+"""Names and descriptive attributes of outputs; the names, patterns and wordings are fixed values that outputs carry."""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,25 @@ def estimate_memory(
     return MemoryEstimate(size, size * multiplier, (lat, lon), -(-n_lat // lat) * -(-n_lon // lon), available, False)
 
 
+def memory_report(e: MemoryEstimate) -> str:
+    """The estimate as text."""
+    lines = [f"input {e.input_gb:.2f} GB, peak {e.peak_gb:.2f} GB of {e.available_gb:.2f} GB available"]
+    if e.fits:
+        lines.append("the whole grid fits")
+    else:
+        lines.append(f"{e.n_chunks} tiles of {e.chunk[0]} x {e.chunk[1]} cells")
+    return "\n".join(lines)
+
+
+def estimates(spark: SparkSession, shapes: Sequence[tuple[int, int, int]], available: float) -> DataFrame:
+    """One row for each shape (time, lat, lon) with its estimate."""
+    rows = []
+    for shape in shapes:
+        e = estimate_memory(*shape, available)
+        rows.append((*shape, e.input_gb, e.peak_gb, *e.chunk, e.n_chunks, e.fits))
+    return spark.createDataFrame(rows, "n_time int, n_lat int, n_lon int, input_gb double, peak_gb double, chunk_lat int, chunk_lon int, n_chunks int, fits boolean")
+
+
 def estimate_memory_of(df: DataFrame, available: float | None = None) -> MemoryEstimate:
     """Estimate for a cube stored as a table with lat, lon and time."""
     n = df.agg(*(F.count_distinct(c).alias(c) for c in ("time", "lat", "lon"))).first()

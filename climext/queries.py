@@ -952,3 +952,15 @@ def vis5(spark, d):
 )
 def pet3(spark, d):
     return pet.potential_evapotranspiration(views.monthly(spark, d), "tmean", "lat", "hargreaves", "tmin", "tmax").select("cell_id", "time", "pet")
+
+
+@query(
+    "mem1_estimates",
+    f"""WITH s AS (SELECT *, CAST(8 AS DOUBLE) * n_time * n_lat * n_lon / 1073741824 AS gb, CAST(floor(sqrt(floor(16 * 0.7 / 12 * 1073741824 / (n_time * 8)))) AS INT) AS side
+      FROM (VALUES (408, 165, 244), (528, 2160, 4320), (539, 2400, 7200)) AS t(n_time, n_lat, n_lon)),
+    c AS (SELECT *, gb * 12 <= 16 * 0.7 AS fits, greatest(least(side, n_lat), 100) AS a, greatest(least(side, n_lon), 100) AS b FROM s)
+    SELECT n_time, n_lat, n_lon, {_r(input_gb='gb', peak_gb='gb * 12')}, CASE WHEN fits THEN n_lat ELSE a END AS chunk_lat, CASE WHEN fits THEN n_lon ELSE b END AS chunk_lon,
+      CAST(CASE WHEN fits THEN 1 ELSE ceil(n_lat / CAST(a AS DOUBLE)) * ceil(n_lon / CAST(b AS DOUBLE)) END AS INT) AS n_chunks, fits FROM c""",
+)
+def mem1(spark, d):
+    return planning.estimates(spark, [(408, 165, 244), (528, 2160, 4320), (539, 2400, 7200)], 16.0)
