@@ -1,6 +1,6 @@
 """Special functions as Column expressions, and the incomplete gamma function as an Arrow function.
 
-Everything but ``gamma_p`` stays in generated JVM code.
+``gamma_p`` and :func:`standardize` are Arrow functions; everything else stays in generated JVM code.
 """
 
 from __future__ import annotations
@@ -86,32 +86,29 @@ def to_standard_normal(p: Column) -> Column:
     return clamp(norm_ppf(clamp(p, PROB_LOW, PROB_HIGH)), VALID_MIN, VALID_MAX)
 
 
+def np_norm_ppf(p: np.ndarray) -> np.ndarray:
+    """Normal quantile of probabilities in (0, 1)."""
+    q = p - 0.5
+    tail = np.sqrt(-np.log(np.where(q < 0, p, 1 - p)))
+    outer = np.sign(q) * np.where(tail <= 5, _ratio(_NEAR, tail - 1.6), _ratio(_FAR, tail - 5.0))
+    return np.where(np.abs(q) <= 0.425, q * _ratio(_CENTRE, 0.180625 - q * q), outer)
+
+
+@F.pandas_udf(DoubleType())
+def _index_value(p: pd.Series) -> pd.Series:
+    x = p.to_numpy(float)
+    z = np.clip(np_norm_ppf(np.clip(np.where(np.isnan(x), 0.5, x), PROB_LOW, PROB_HIGH)), VALID_MIN, VALID_MAX)
+    return pd.Series(z).astype("Float64").mask(np.isnan(x))
+
+
 def standardize(df, probabilities: dict[str, Column]):
     """``df`` with an index column for each probability.
 
-    Each step is a projection of its own, so that what the next one uses many times stays a plain column: the quantile's
-    polynomials then fit into code that the JVM compiles (as one expression they ran ten times slower).
+    The quantile is an Arrow function: as an expression its polynomials make code too long for the JVM to compile (ten
+    times slower), and a filter on the result would be unfolded into thousands of copies of the probability.
     """
-    steps = {k: {x: f"__{x}_{k}" for x in ("h", "n", "q", "t", "x")} for k in probabilities}
-    c = lambda k, x: F.col(steps[k][x])
-    each = lambda x, of: {steps[k][x]: of(k) for k in probabilities}
-    df = df.withColumns({steps[k]["h"]: p for k, p in probabilities.items()})
-    df = df.withColumns(each("n", lambda k: clamp(c(k, "h"), PROB_LOW, PROB_HIGH)))
-    df = df.withColumns(
-        each("q", lambda k: c(k, "n") - 0.5)
-        | each("t", lambda k: F.sqrt(-F.log(F.when(c(k, "n") < 0.5, c(k, "n")).otherwise(1 - c(k, "n")))))
-    )
-    middle = lambda k: F.abs(c(k, "q")) <= 0.425
-    near = lambda k: c(k, "t") <= 5
-    df = df.withColumns(
-        each("x", lambda k: F.when(middle(k), 0.180625 - c(k, "q") * c(k, "q")).when(near(k), c(k, "t") - 1.6).otherwise(c(k, "t") - 5.0))
-    )
-    outer = lambda k: F.when(near(k), _ratio(_NEAR, c(k, "x"))).otherwise(_ratio(_FAR, c(k, "x")))
-    df = df.withColumns(
-        {k: F.when(middle(k), c(k, "q") * _ratio(_CENTRE, c(k, "x"))).otherwise(F.signum(c(k, "q")) * outer(k)) for k in probabilities}
-    )
-    df = df.withColumns({k: clamp(F.col(k), VALID_MIN, VALID_MAX) for k in probabilities})
-    return df.drop(*(name for of in steps.values() for name in of.values()))
+    ship()
+    return df.withColumns({k: _index_value(p.cast("double")) for k, p in probabilities.items()})
 
 
 def lgamma(x: Column) -> Column:
