@@ -76,12 +76,14 @@ def densify(
 ) -> DataFrame:
     """A row for every cell and month (or day) from ``start`` to ``end``; window frames count rows, so none may lack.
 
-    The steps are made cell by cell (``explode(sequence)``), so no cross join is needed.
+    The steps are made cell by cell (``explode(sequence)``), so no cross join is needed.  Spark takes the exploded side to be
+    as small as the cells and would send it whole to every task where a filter on the values makes the join an inner one;
+    the hint sorts and merges instead.
     """
     cells = (df if cells is None else cells).select("cell_id").distinct()
     step = "MONTH" if periodicity is Periodicity.monthly else "DAY"
     steps = F.explode(F.expr(f"sequence(DATE'{start}', DATE'{end}', INTERVAL 1 {step})"))
-    full = cells.select("cell_id", steps.alias("time"))
+    full = cells.select("cell_id", steps.alias("time")).hint("merge")
     out = full.join(df.withColumn("time", F.col("time").cast("date")), ["cell_id", "time"], "left")
     return out if fill is None else out.withColumn(value, F.coalesce(value, F.lit(fill)))
 

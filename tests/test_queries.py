@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 from collections import Counter
 from statistics import NormalDist
 
@@ -165,3 +166,11 @@ def test_queries_equal_their_sql(spark, name):
     assert len(mine) == len(want)
     off = sum(a != b for a, b in zip(mine, want, strict=True))
     assert off <= 0.001 * len(want), [(a, b) for a, b in zip(mine, want, strict=True) if a != b][:3]
+
+
+@pytest.mark.parametrize("name", ("agg4_lmoments", "agg16_corr", "dst1a_gamma_moments", "dst3c_pearson3_mle", "dst16_diagnose"))
+def test_months_of_all_cells_are_not_broadcast(spark, name):
+    """A filter on the values makes the join with them an inner one, whose exploded side looks as small as the cells."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*Generate explode", plan)
+    assert "SortMergeJoin [cell_id" in plan
