@@ -51,6 +51,42 @@ def test_likelihood_recovers_parameters():
     assert (k, loc, scale) == (pytest.approx(0, abs=0.06), pytest.approx(10, abs=0.3), pytest.approx(3, abs=0.2))
 
 
+def test_simplexes_side_by_side_equal_each_alone():
+    rng = np.random.default_rng(4)
+    x = np.sort(np.concatenate([rng.gamma(2.0, 30.0, (60, 83)), 300 + 40 * rng.standard_normal((60, 83)), rng.gumbel(50.0, 9.0, (60, 83))]), axis=1)
+    x[7] = 5.0
+    for family in ("pearson3", "gev"):
+        together = fit.np_simplex_mle(x, family)
+        alone = np.concatenate([fit.np_simplex_mle(row[None], family) for row in x])
+        assert np.isnan(together[7]).all() and np.array_equal(together, alone, equal_nan=True)
+
+
+def test_simplex_ends_where_no_step_changes_it():
+    """Without a finite loss nothing but shrinking is left; it ran 2,000 steps of five losses each."""
+    asked = []
+    got = fit.np_nelder_mead(lambda p: asked.append(1) or math.inf, np.array([0.5, 300.0, 40.0]))
+    assert got.tolist() == [0.5, 300.0, 40.0] and len(asked) < 1000
+
+
+def test_likelihood_fits_as_one_stream(spark):
+    """Samples over several Arrow batches, one longer than what is fitted at once, others without a fit; not one Python call each."""
+    rng = np.random.default_rng(6)
+    samples = {c: rng.gumbel(50.0 + c, 9.0, 30 + c % 5) for c in range(40)} | {100: rng.gumbel(20.0, 3.0, fit._TOGETHER + 900), 101: np.full(50, 2.0), 102: np.arange(5.0)}
+    rows = [(c, float(v)) for c, values in samples.items() for v in values] + [(103, None), (0, float("nan")), (1, float("inf"))]
+    df = spark.createDataFrame(rows, "cell_id long, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        fitted = fit.fit(df, ["cell_id"], "v", "gev", "mle")
+        assert "FlatMapGroupsInPandas" not in fitted._jdf.queryExecution().executedPlan().toString()
+        got = {r["cell_id"]: (r["shape"], r["loc"], r["scale"]) for r in fitted.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(samples)
+    for c, values in samples.items():
+        want = fit.np_simplex_mle(np.sort(values)[None], "gev")[0]
+        assert got[c] == ((None,) * 3 if np.isnan(want).any() else tuple(want.tolist()))
+
+
 def test_norm_cdf(spark):
     import math
 
