@@ -174,3 +174,13 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*Generate explode", plan)
     assert "SortMergeJoin [cell_id" in plan
+
+
+@pytest.mark.parametrize(
+    "name",
+    (
+        "agg5_lmoment_ratios",
+    ),
+)
+def test_nor_are_they_by_other_fits(spark, name):
+    test_months_of_all_cells_are_not_broadcast(spark, name)
