@@ -184,6 +184,7 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
         "dst1b_gamma_lmoments",
         "dst3b_pearson3_lmoments",
         "dst7b_gev_mle",
+        "dst5a_log_logistic_mle",
     ),
 )
 def test_nor_are_they_by_other_fits(spark, name):
