@@ -183,6 +183,7 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
         "dst14_compare_distributions",
         "dst1b_gamma_lmoments",
         "dst3b_pearson3_lmoments",
+        "dst5c_log_logistic_lmoments",
         "dst7b_gev_mle",
         "dst5a_log_logistic_mle",
     ),
