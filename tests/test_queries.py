@@ -184,6 +184,7 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
         "dst1b_gamma_lmoments",
         "dst3b_pearson3_lmoments",
         "dst5c_log_logistic_lmoments",
+        "dst7a_gev_lmoments",
         "dst7b_gev_mle",
         "dst5a_log_logistic_mle",
     ),
