@@ -187,6 +187,7 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
         "dst7a_gev_lmoments",
         "dst7b_gev_mle",
         "dst9a_gen_logistic_lmoments",
+        "dst13_goodness_of_fit",
         "dst5a_log_logistic_mle",
     ),
 )
