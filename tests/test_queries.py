@@ -189,6 +189,7 @@ def test_months_of_all_cells_are_not_broadcast(spark, name):
         "dst9a_gen_logistic_lmoments",
         "dst13_goodness_of_fit",
         "dst16_diagnose",
+        "dst1a_gamma_moments",
         "dst5a_log_logistic_mle",
     ),
 )
